@@ -71,7 +71,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = found.withColumn("keep_id", _id_of(F.col("best"))).withColumn("first", F.col("best") == _preference(F.col("len"), F.col("doc_id")))
     # Rows that repeat with id and text: one of them is kept. Rows that aren't kept anyway are dealt out by hash.
     deal = F.when(F.col("first"), 0).otherwise(F.xxhash64("doc_id", "len"))
-    one = F.row_number().over(W.partitionBy("digest", deal, "best").orderBy("doc_id", "len")) == 1
+    one = F.row_number().over(W.partitionBy(F.xxhash64("digest"), deal, "best").orderBy("doc_id", "len")) == 1
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("first") & one).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
