@@ -6,22 +6,44 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shardflow.llm.common import table
+from shardflow.llm.common import keep, table
 from shardflow.llm.exact_dedup import exact_duplicates
+from shardflow.llm.html_layout import extract
+from shardflow.llm.licences import licences
 from shardflow.llm.mixing import mix
 from shardflow.llm.packing import pack
+from shardflow.llm.quality import quality
+from shardflow.llm.secret_scan import secrets
 from shardflow.llm.simhash import near_duplicates
+from shardflow.llm.token_scan import document_tokens, write_blocks
 from shardflow.llm.toxicity import toxicity
 
 #: A parameter of every query that tokenises; the file is never copied.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks the ends of documents in flat token files.
+END = 49407
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +60,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are written to flat token files first; the scan sees these alone, and its counts then get the ids."""
+    blocks = keep(write_blocks(table(spark, sf_dir, "documents"), VOCABULARY, END), "blocks")
+    return document_tokens(blocks, END)
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: each is a file source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licences(docs.withColumn("path", path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in sorted(globals().items()) if n[:2] == "op" and n[2].isdigit()}
 
