@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker remembers, and the longest of them, in bytes.
-WORDS, LONGEST = 300_000, 48
+WORDS, LONGEST = 1_000_000, 48
 
 _open: dict[tuple[str, bool], Ids] = {}
 
@@ -15,34 +17,58 @@ class Ids:
     """ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and splits at it first, so a
     text's ids are those of its words one after another; words recur, so most are looked up."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, remember: int = WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[bytes, bytes] = {}
+        self.remember, self.missed = remember, 0
+        self.marks = {m: self.words([m])[m] for m in (b".", b",", b";", b":", b"!", b"?")}
+
+    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """ids of each of some words. They are encoded as one text; a token's place tells its word."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        e = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+        data = np.array(e.ids, "<u4")
+        begin = np.cumsum([0, *(len(t) + 1 for t in text[:-1])])
+        at = np.fromiter((a for a, _ in e.offsets), np.int64, len(data))
+        cut = np.searchsorted(at, begin[1:]).tolist()
+        b = data.tobytes()
+        return {w: b[4 * i : 4 * j] for w, i, j in zip(words, [0, *cut], [*cut, len(data)])}
 
-    def _add(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+    def missing(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """ids of words that aren't known. Letters and a mark behind them are tokens of their own, so such a word's ids are
+        those of its letters and the mark's."""
+        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
+        bare = {w[:-1] for w in marked}
+        want = list((new.difference(marked) | bare).difference(self.known))
+        got = self.words(want) if want else {}
+        for w in marked:
+            stem = w[:-1]
+            got[w] = (got[stem] if stem in got else self.known[stem]) + self.marks[w[-1:]]
+        return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         out = []
-        for at in range(0, len(split), 64):
-            part = split[at : at + 64]
-            new = set().union(*part).difference(self.known)
-            if len(self.known) + len(new) > WORDS:
-                self.known.clear()
-                new = set().union(*part)
-            self._add(list(new))
-            out += [b"".join(map(self.known.__getitem__, words)) for words in part]
-            for w in new:
-                if len(w) > LONGEST:
-                    del self.known[w]
+        for at in range(0, len(texts), 128):
+            part = []
+            for t in texts[at : at + 128]:
+                b = (t or "").encode("utf-8", "replace")
+                part.append((b if b"<|" in b else b.lower()).split())  # the tokenizer lower-cases, but for special tokens
+            got = self.missing(set().union(*part).difference(self.known))
+            if len(self.known) < self.remember:
+                self.known.update(x for x in got.items() if len(x[0]) <= LONGEST)
+            else:  # what came first is mostly what is frequent; begin anew if it no longer is
+                self.missed += len(got)
+                if self.missed > 20 * self.remember:
+                    self.known, self.missed = {w: self.known[w] for w in set().union(*part).intersection(self.known)}, 0
+            known = self.known
+            out += [b"".join([known[w] if w in known else got[w] for w in words]) for words in part]
         return out
 
 
-def ids(path: str, plain: bool = False) -> Ids:
+def ids(path: str, plain: bool = False, remember: int = WORDS) -> Ids:
     """One for each worker process and vocabulary. plain: strings of special tokens are ordinary text."""
     if (path, plain) not in _open:
-        _open[path, plain] = Ids(path, plain)
+        _open[path, plain] = Ids(path, plain, remember)
     return _open[path, plain]
