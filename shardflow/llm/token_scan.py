@@ -16,18 +16,20 @@ from shardflow.llm.tokens import ids
 
 #: Blocks whose summaries are scanned by one task before the sums of such groups are scanned.
 GROUP = 1024
+#: Words that a worker remembers while it writes.
+REMEMBER = 400_000
 
 
-def write_blocks(docs: DataFrame, vocabulary: str, end: int, block: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_blocks(docs: DataFrame, vocabulary: str, end: int, block: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Flat token files, one for each input partition, as rows (file, block, ids, doc_ids): ids are `block`
-    unsigned little-endian 32-bit numbers at most, cut anywhere; doc_ids (apart from the file, which has no index) are
+    unsigned little-endian 16-bit numbers at most (the vocabulary is smaller), cut anywhere; doc_ids (apart from the file, which has no index) are
     the documents that end in the block, in order. Special tokens' strings are ordinary text, so `end` ends documents only."""
     base = pick(docs, doc_id=id_col, text=text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, number = ids(vocabulary, plain=True), TaskContext.get().partitionId(), 0
+        encoder, file, number = ids(vocabulary, True, REMEMBER), TaskContext.get().partitionId(), 0
         held, size, id_kind = [], 0, None
 
         def rows(last: bool) -> Iterator[pa.RecordBatch]:
@@ -35,8 +37,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, end: int, block: int = 1 << 1
             data, at = b"".join(d for d, _ in held), 0
             ends = np.cumsum([len(d) for d, _ in held]) if held else np.empty(0, np.int64)
             names, done = [w for _, w in held], 0
-            while len(data) - at >= 4 * block or last and at < len(data):
-                stop = min(at + 4 * block, len(data))
+            while len(data) - at >= 2 * block or last and at < len(data):
+                stop = min(at + 2 * block, len(data))
                 upto = int(np.searchsorted(ends, stop, "right"))
                 cols = [pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([data[at:stop]], pa.binary()), pa.array([names[done:upto]], pa.list_(id_kind))]
                 yield pa.RecordBatch.from_arrays(cols, ["file", "block", "ids", "doc_ids"])
@@ -48,20 +50,23 @@ def write_blocks(docs: DataFrame, vocabulary: str, end: int, block: int = 1 << 1
 
         for b in batches:
             id_kind = b.column(0).type
-            for doc, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
-                held.append((data + tail, doc))
-                size += len(data) + 4
-                if size >= 16 * block:
-                    yield from rows(False)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for doc, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                    data = np.frombuffer(data, "<u4").astype("<u2").tobytes() + tail
+                    held.append((data, doc))
+                    size += len(data)
+                    if size >= 32 * block:
+                        yield from rows(False)
         if held:
             yield from rows(True)
 
     return on_batches(base, run, f"file int, block bigint, ids binary, doc_ids array<{kind}>")
 
 
-def scan(blocks: DataFrame, end: int) -> DataFrame:
-    """file, document (its place in the file, from 0), n_tokens from blocks (file, block, ids) of unsigned
-    little-endian 32-bit numbers, of any lengths.
+def scan(blocks: DataFrame, end: int, kind_of_id: str = "<u2") -> DataFrame:
+    """file, document (its place in the file, from 0), n_tokens from blocks (file, block, ids) of numbers
+    of one kind (unsigned little-endian, 16 bits, unless said otherwise), of any lengths.
 
     Each block is searched for `end` at once; it reports the gaps between its separators, and a summary: its length,
     how many separators it has, and where its last one is. A prefix scan of the summaries (in groups of GROUP blocks, then
@@ -74,7 +79,7 @@ def scan(blocks: DataFrame, end: int) -> DataFrame:
         for b in batches:
             n, count, first, last, gaps = [], [], [], [], []
             for x in b.column(2):
-                a = np.frombuffer(x.as_py() or b"", "<u4")
+                a = np.frombuffer(x.as_py() or b"", kind_of_id)
                 at = np.flatnonzero(a == end)
                 n.append(len(a))
                 count.append(len(at))
