@@ -20,13 +20,13 @@ WIDTH = 24
 #: A gapped triple of letters spans this many at most, and loses DECAY for each.
 SPAN, DECAY = 7, 0.8
 #: Kernel values below this count as 0: the word has nothing of a landmark.
-FLOOR = 0.5
+FLOOR = 0.4
 #: Landmarks that are bounded together.
 GROUP = 8
 #: A power of a kernel is one, and tells words of the same syllables better apart.
 POWER = 2
-#: Words that a worker remembers.
-WORDS = 400_000
+#: Words that a worker remembers, and the longest of them.
+WORDS, LONGEST = 800_000, 48
 #: Labelled documents that training reads, of each label, taken by hash.
 SAMPLE = 3000
 LANDMARKS = 192
@@ -152,12 +152,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.kernel = model, Kernel(model.landmarks)
         self.known: dict[str, float] = {}
+        self.missed = 0
 
-    def learn(self, words: set[str]) -> None:
-        names, parts, owner = list(words), [], []
+    def words(self, words: set[str]) -> dict[str, float]:
+        names, parts, owner, out = list(words), [], [], {}
         for n, w in enumerate(names):
             u = unit(w)
-            self.known[w] = -np.inf if len(u) == 1 and len(w) < 4 else self.model.bias
+            out[w] = -np.inf if len(u) == 1 and len(w) < 4 else self.model.bias
             if len(u) > 2:
                 cut = windows(u)
                 parts += cut
@@ -165,19 +166,22 @@ class Scorer:
         who, rows = self.kernel.rows(parts)
         for p, value in zip(who.tolist(), (rows @ self.model.alpha + self.model.bias).tolist()):
             w = names[owner[p]]
-            self.known[w] = max(self.known[w], value)
+            out[w] = max(out[w], value)
+        return out
 
     def values(self, texts: list[str]) -> list[float]:
         split = [t.split() for t in texts]
         every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = every
-        self.learn(new)
-        out = []
+        got = self.words(every.difference(self.known))
+        if len(self.known) < WORDS:
+            self.known.update(x for x in got.items() if len(x[0]) <= LONGEST)
+        else:  # what came first is mostly what is frequent; begin anew if it no longer is
+            self.missed += len(got)
+            if self.missed > 20 * WORDS:
+                self.known, self.missed = {w: self.known[w] for w in every.intersection(self.known)}, 0
+        known, out = self.known, []
         for words in split:
-            v = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+            v = np.fromiter((known[w] if w in known else got[w] for w in words), np.float64, len(words))
             out.append(max(self.model.bias, float(v.max(initial=-np.inf)), *self._spelled(words, np.isneginf(v))))
         return out
 
@@ -361,7 +365,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(model)
         for b in batches:
             who, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            s = [model.score(v) for at in range(0, len(texts), 64) for v in scorer.values(texts[at : at + 64])]
+            s = [model.score(v) for at in range(0, len(texts), 128) for v in scorer.values(texts[at : at + 128])]
             out = [b.column(0), pa.array([held_out(d) for d in who]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
 
@@ -378,7 +382,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
         scorer = Scorer(model)
         for b in batches:
             texts = [t or "" for t in b.column(place).to_pylist()]
-            s = [model.score(v) for i in range(0, len(texts), 64) for v in scorer.values(texts[i : i + 64])]
+            s = [model.score(v) for i in range(0, len(texts), 128) for v in scorer.values(texts[i : i + 128])]
             yield b.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
 
     return on_batches(plain, run, plain.schema).toDF(*names)
