@@ -197,7 +197,7 @@ class Scorer:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps over the support vectors; y is -1 or 1."""
-    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     reg = np.eye(x1.shape[1])
     reg[-1, -1] = 1e-3
     w = np.zeros(x1.shape[1])
@@ -311,19 +311,19 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     every = sorted({u for us in units for u in us})
     at, rows = kernel.rows(every)
     place = {every[n]: i for i, n in enumerate(at.tolist())}
-    mapped = rows @ root
+    mapped = (rows @ root).astype(np.float32)
     hits = [sorted({place[u] for u in us if u in place}) for us in units]
     calm = np.array([i for u, i in place.items() if u in good], np.int64)
     often = np.array([good[u] for u in place if u in good], np.float64)
     sure = np.array([place[u] for u in tops], np.int64)
     trust = np.array([bad[u] for u in tops], np.float64)
     random = np.random.default_rng(5)
-    forms = kernel.rows(sorted({x for u in tops for x in altered(u, random)} - set(good)))[1] @ root
+    forms = kernel.rows(sorted({x for u in tops for x in altered(u, random)} - set(good)))[1] @ root.astype(np.float32)
     seen = {}
     for h, g, t in zip(hits, group, toxic):
         if t and h:
             seen.setdefault(g, h)
-    zero = np.zeros((1, len(root)))
+    zero = np.zeros((1, len(root)), np.float32)
     f = rows[:, : len(tops)].max(1)
     for _ in range(4):
         witness = [max(h, key=lambda i: f[i]) for h in seen.values()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,13 @@ def local_session(name: str = "shardflow", cpus: int | str = "*", **conf: str) -
     spark = b.config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which executors share; only where that is unset, in local mode a
+    temporary folder, else one beside the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        root = tempfile.mkdtemp(prefix="shardflow-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
