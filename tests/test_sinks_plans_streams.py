@@ -1,0 +1,92 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from shardflow import sinks
+from shardflow.dataset import Dataset
+from shardflow.plans import dot, interrupt, observed
+from shardflow.streaming import receive, run_to_end, sorted_batches
+
+
+def test_single_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    Dataset.slice(spark, ["old"] * 100, "value string").save_text_to_file(path)
+    Dataset.slice(spark, ["a", "é", ""], "value string").save_text_to_file(path)
+    assert open(path, "rb").read() == "a\né\n\n".encode()
+    Dataset.slice(spark, [b"a\x00", b"", b"b"], "value binary").save_bytes_to_file(path)
+    assert open(path, "rb").read() == b"a\x00b"
+
+
+def test_every_tap_gets_every_row(spark):
+    seen = ([], [])
+    ds = Dataset.slice(spark, range(5))
+    ds.add_outputs(*(lambda rows, to=to: to.extend(r[0] for r in rows) for to in seen))
+    assert seen == ([0, 1, 2, 3, 4],) * 2
+
+
+def test_fields_by_position(spark):
+    ds = Dataset.slice(spark, [(1, 2)], "key int, value int")
+    assert ds.output_as("X", "Y").df.columns == ["X", "Y"]
+    with pytest.raises(ValueError):
+        ds.output_as("X", "Y", "Z")
+
+
+def test_side_effects_for_each_partition(spark, tmp_path):
+    d = str(tmp_path)
+
+    def touch(rows):
+        for r in rows:
+            open(f"{d}/{r[0]}", "w").close()
+
+    sinks.for_each(spark.range(3), touch)
+    assert sorted(os.listdir(d)) == ["0", "1", "2"]
+
+
+def test_plot(spark):
+    text = dot(Dataset.slice(spark, [(1, 2)], "key int, value int").reduce_by_key("sum").df)
+    assert text.startswith("digraph") and "start ->" in text and "-> end" in text and "Aggregate" in text
+
+
+def test_statistics(spark):
+    df, seen = observed(spark.range(7), "seven")
+    df.count()
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get["rows"] == 7
+    assert interrupt(spark) == []
+
+
+def test_topic(spark, tmp_path):
+    topic = str(tmp_path / "topic")
+    sinks.send(spark.createDataFrame([("a",), ("b",)], "value string"), topic)
+    sinks.send(spark.createDataFrame([("c",)], "value string"), topic)
+    assert sorted(r.value for r in run_to_end(receive(spark, topic), "topic_rows").collect()) == ["a", "b", "c"]
+
+
+def test_a_stream_resumes_where_it_stopped(spark, tmp_path):
+    """What a checkpoint has seen isn't read again."""
+    topic, mark = str(tmp_path / "topic"), str(tmp_path / "mark")
+    got = []
+    for lines in (["b", "a"], ["c"]):
+        sinks.send(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), topic)
+        sorted_batches(receive(spark, topic), lambda d: got.append([r.value for r in d.collect()]), "value", checkpoint=mark)
+    assert got == [["a", "b"], ["c"]]
+
+
+def test_joins_of_streams(spark, tmp_path):
+    topic = str(tmp_path / "topic")
+    sinks.send(spark.createDataFrame([(str(x),) for x in range(5) for _ in range(2)], "value string"), topic)
+    two = receive(spark, topic).select(F.col("value").cast("int").alias("key"), (F.col("value").cast("int") * 2).alias("value1"))
+    three = receive(spark, topic).select(F.col("value").cast("int").alias("key"), (F.col("value").cast("int") * 3).alias("value2"))
+    out = run_to_end(two.join(three, "key"), "joined_streams")
+    assert sorted(tuple(r) for r in out.collect()) == sorted((t, 2 * t, 3 * t) for t in range(5) for _ in range(4))
+
+
+def test_command_line(spark, tmp_path, capfd):
+    from shardflow.__main__ import main
+
+    path, topic = tmp_path / "lines", str(tmp_path / "topic")
+    path.write_text("x\ny\n")
+    assert main(["send", topic, str(path)]) == 0
+    assert main(["receive", topic]) == 0
+    assert sorted(capfd.readouterr().out.split()) == ["x", "y"]
