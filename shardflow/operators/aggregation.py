@@ -79,7 +79,7 @@ def local_group_by_key(df: DataFrame, normal: Callable[[Column], Column] | None
 
 def reduce_with(df: DataFrame, f: Callable[[object, object], object], column: str = "value") -> DataFrame:
     """One row by an opaque associative, commutative function: each partition folds its rows batch by batch, then
-    one task folds the partitions' results. An empty input gives no row."""
+    one task folds the partitions' results (after an exchange, so that the first step stays parallel). An empty input gives no row."""
     ship(df.sparkSession)
     one = df.select(column)
 
@@ -89,7 +89,7 @@ def reduce_with(df: DataFrame, f: Callable[[object, object], object], column: st
         if first is not None:
             yield pd.DataFrame({column: [fold(f, parts, first)]})
 
-    return one.mapInPandas(run, one.schema).coalesce(1).mapInPandas(run, one.schema)
+    return one.mapInPandas(run, one.schema).repartition(1).mapInPandas(run, one.schema)
 
 
 def reduce_by_key_with(df: DataFrame, f: Callable[[object, object], object]) -> DataFrame:

@@ -32,5 +32,5 @@ def spread(df: DataFrame, shards: int) -> DataFrame:
 
 
 def merged(df: DataFrame) -> DataFrame:
-    """All shards to one."""
-    return df.coalesce(1)
+    """All shards to one, behind an exchange: what comes before stays parallel."""
+    return df.repartition(1)

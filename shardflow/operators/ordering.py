@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shardflow.session import ship
 from shardflow.shapes import key_of
 
+#: Keys that are sampled for each range of an opaque order.
+SAMPLE = 64
+
 
 def default_order(df: DataFrame) -> list[Column]:
     return [F.col(key_of(df)).asc()]
@@ -32,21 +37,31 @@ def merge_sorted(df: DataFrame, *by: Column | str) -> DataFrame:
     return sort(df, *by)
 
 
-def sort_by_comparator(df: DataFrame, less: Callable[[object, object], bool], column: str | None = None) -> DataFrame:
-    """Global order by less(a, b) over the key (or another column), which can't be split into ranges: one task
-    sorts all rows. An order by expression scales; this is for comparators that have none."""
-    ship(df.sparkSession)
+def sort_by_comparator(df: DataFrame, less: Callable[[object, object], bool], column: str | None = None, shards: int | None = None) -> DataFrame:
+    """Global order by less(a, b) over the key (or another column). A sample of SAMPLE keys for each shard, sorted on
+    the driver, cuts the order into ranges; a task sorts each range. Keys that tie stay in one range."""
+    spark = df.sparkSession
+    ship(spark)
     name = column or key_of(df)
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank = cmp_to_key(lambda a, b: -1 if less(a, b) else int(less(b, a)))
+    few = sorted((r[0] for r in df.select(name).orderBy(F.rand(7)).limit(SAMPLE * n).collect()), key=rank)
+    cuts = [few[len(few) * i // n] for i in range(1, n)] if few else []
+    kind = StructType([*df.schema.fields, StructField("range_", IntegerType())])
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = [rank(c) for c in cuts]
+        for x in frames:
+            yield x.assign(range_=[bisect_right(marks, rank(k)) for k in x[name].tolist()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)
         if parts:
-            every = pd.concat(parts, ignore_index=True)
-            k = every[name].tolist()
-            order = cmp_to_key(lambda i, j: -1 if less(k[i], k[j]) else int(less(k[j], k[i])))
-            yield every.iloc[sorted(range(len(k)), key=order)]
+            every = pd.concat(parts, ignore_index=True).drop(columns="range_")
+            k = [rank(v) for v in every[name].tolist()]
+            yield every.iloc[sorted(range(len(k)), key=k.__getitem__)]
 
-    return df.coalesce(1).mapInPandas(run, df.schema)
+    return df.mapInPandas(deal, kind).repartitionById(n, F.col("range_")).mapInPandas(run, df.schema)
 
 
 def top(df: DataFrame, n: int, *by: Column | str) -> DataFrame:

@@ -205,3 +205,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.queries()["filter_pair"](spark, SMALL)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
     assert "GreaterThan(o_totalprice,1000.0)" in plan
+
+
+@given(st.lists(st.text("abAB", max_size=3), max_size=40), st.integers(1, 6))
+@FEW
+def test_comparator_sorts_in_ranges(spark, words, shards):
+    df = spark.createDataFrame([(w,) for w in words], "value string").repartition(3)
+    out = ordering.sort_by_comparator(df, lambda a, b: a.lower() < b.lower(), shards=shards)
+    have = [r[0] for r in out.collect()]
+    assert sorted(have) == sorted(words) and [x.lower() for x in have] == sorted(x.lower() for x in words)
+
+
+def test_opaque_steps_stay_parallel(spark):
+    """The first step of an opaque fold and of an opaque sort run in all of their input's partitions."""
+    df = spark.range(0, 1000, 1, 6).toDF("value")
+    for out in (agg.reduce_with(df, max), ordering.sort_by_comparator(df, lambda a, b: a < b)):
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 1, false" not in text and "epartition" in text
+    assert [r[0] for r in ordering.sort_by_comparator(df, lambda a, b: a > b).collect()] == list(range(999, -1, -1))
