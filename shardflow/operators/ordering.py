@@ -44,12 +44,13 @@ def sort_by_comparator(df: DataFrame, less: Callable[[object, object], bool], co
     ship(spark)
     name = column or key_of(df)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rank = cmp_to_key(lambda a, b: -1 if less(a, b) else int(less(b, a)))
-    few = sorted((r[0] for r in df.select(name).orderBy(F.rand(7)).limit(SAMPLE * n).collect()), key=rank)
+    ranks = lambda: cmp_to_key(lambda a, b: -1 if less(a, b) else int(less(b, a)))  # noqa: E731, made anew on each worker
+    few = sorted((r[0] for r in df.select(name).orderBy(F.rand(7)).limit(SAMPLE * n).collect()), key=ranks())
     cuts = [few[len(few) * i // n] for i in range(1, n)] if few else []
     kind = StructType([*df.schema.fields, StructField("range_", IntegerType())])
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = ranks()
         marks = [rank(c) for c in cuts]
         for x in frames:
             yield x.assign(range_=[bisect_right(marks, rank(k)) for k in x[name].tolist()])
@@ -58,7 +59,7 @@ def sort_by_comparator(df: DataFrame, less: Callable[[object, object], bool], co
         parts = list(frames)
         if parts:
             every = pd.concat(parts, ignore_index=True).drop(columns="range_")
-            k = [rank(v) for v in every[name].tolist()]
+            k = list(map(ranks(), every[name].tolist()))
             yield every.iloc[sorted(range(len(k)), key=k.__getitem__)]
 
     return df.mapInPandas(deal, kind).repartitionById(n, F.col("range_")).mapInPandas(run, df.schema)
