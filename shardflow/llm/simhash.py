@@ -18,6 +18,8 @@ from shardflow.llm.components import components
 PIVOTS = 32
 #: Candidates with a common key up to which pairs are compared side by side.
 SMALL = 32
+#: Candidates with a common key beyond which they meet under finer keys instead.
+LONG = 4096
 _CHUNK = 1 << 16
 
 
@@ -58,6 +60,13 @@ def masks(bits: int) -> list[int]:
     return [a | b | c for a, b, c in combinations(parts, 3)]
 
 
+def finer(mask: int, bits: int) -> list[int]:
+    """Masks that hold a mask and five of bits + 5 parts of the other bits: a pair that agrees under the mask agrees
+    under one of these. What is left open has few bits, so a bounded number of distinct fingerprints share a key."""
+    parts = np.array_split([b for b in range(64) if not mask >> b & 1], bits + 5)
+    return [mask | sum(1 << int(b) for part in some for b in part) for some in combinations(parts, 5)]
+
+
 def pivot_table(fp: np.ndarray, seed: int = 7) -> np.ndarray:
     """Hamming distances of fingerprints to the references, a row each. A pair within d differs by d at most
     in every coordinate (triangle inequality)."""
@@ -143,13 +152,32 @@ def _link(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield links([np.concatenate(x) for x in zip(*held)])
 
 
-def links(nodes: DataFrame, bits: int = 3) -> DataFrame:
+def _finer(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From (t, fp) rows (t, key, fp) under all finer masks; their t goes on counting behind each other."""
+    fine = [np.array(finer(m, bits), np.uint64).view(np.int64) for m in masks(bits)]
+    for b in batches:
+        t, fp = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+        for at in range(0, len(t), 1024):
+            u, x = t[at : at + 1024], fp[at : at + 1024]
+            under = np.stack([fine[k] for k in u]) if len(u) else np.empty((0, len(fine[0])), np.int64)
+            place = u[:, None] * under.shape[1] + np.arange(under.shape[1])
+            cols = (place, under & x[:, None], np.broadcast_to(x[:, None], under.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(c.ravel().astype(k)) for c, k in zip(cols, (np.int32, np.int64, np.int64))], ["t", "key", "fp"])
+
+
+def links(nodes: DataFrame, bits: int = 3, long: int = LONG) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that have the same components as all pairs within
     `bits` bits. Fingerprints meet under each mask of `masks`; only those that share a key are compared, by
-    pivot distances first. Short runs give all of their links, long ones a spanning forest, so the rows don't
-    grow with the square of a group."""
+    pivot distances first. Short runs give all of their links, longer ones a spanning forest, so the rows don't
+    grow with the square of a group. Keys that more than `long` fingerprints share are counted first (map-side) and
+    never gathered: their members meet under finer keys, which bounds what a task holds."""
     keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for i, m in enumerate(masks(bits))))
     met = nodes.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
+    hot = keep(met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select("t", "key"), "hot")
+    if hot.head(1):
+        crowd = on_batches(met.join(hot, ["t", "key"], "left_semi").select("t", "fp"), lambda x: _finer(x, bits), "t int, key bigint, fp bigint")
+        first = F.lit(len(masks(bits))).cast("int")  # finer keys are counted behind the others
+        met = met.join(hot, ["t", "key"], "left_anti").unionByName(crowd.withColumn("t", F.col("t") + first))
     met = met.repartition("t", "key").sortWithinPartitions("t", "key")
     return on_batches(met, lambda x: _link(x, bits), "u bigint, v bigint")
 
