@@ -1,0 +1,135 @@
+import re
+import time
+from html.parser import HTMLParser
+
+import pytest
+
+from shardflow.llm.html_layout import extract, visible_text
+from shardflow.llm.queries import queries
+from tests.conftest import SMALL
+from tests.llm import cases
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("", ""),
+        ("plain &amp; simple", "plain & simple"),
+        ("<p>one<p>two", "one\n\ntwo"),
+        ("<div>one<div>two</div>three</div>", "one\ntwo\nthree"),
+        ("a<br>b<br/>c", "a\nb\nc"),
+        ("  many \n\t spaces  <b> in </b> it ", "many spaces in it"),
+        ("<b>a</b><i>b</i> <u>c</u>", "ab c"),
+        ("<h1>t</h1>x", "t\n\nx"),
+        ("<ul><li>a<li>b</ul>", "- a\n- b"),
+        ("<ol><li>a</li><li>b</li></ol>", "1. a\n2. b"),
+        ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "- a\n  - b\n  - c\n- d"),
+        ("<ul><li>one<br>two</ul>", "- one\n  two"),
+        ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"),
+        ("<pre>a  b\n  c</pre>", "a  b\n  c"),
+        ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a    bb\nccc  d"),
+        ("<table><tr><th colspan=2>head<tr><td>a<td>b</table>", "head\na  b"),
+        ("<table><tr><td rowspan=2>x<td>1<tr><td>2</table>", "x  1\n   2"),
+        ("<table><caption>c</caption><tr><td>a</table>", "c\na"),
+        ("<table><tr><td>a<br>b<td>c</table>", "a  c\nb"),
+        ("<p>a<table><tr><td>b</table>c", "a\n\nb\n\nc"),
+        ("<q>said</q> so", '"said" so'),
+        ("x<img alt='pic'>y", "xpicy"),
+        ("a<!-- no -->b<!doctype html>c<?x?>d", "abcd"),
+        ("a < b and c > d", "a < b and c > d"),
+        ("<p>a</p></p>b", "a\n\nb"),
+        ("</div>a</span>", "a"),
+        ("<a href=x>one<a href=y>two", "onetwo"),
+        ("a<wbr>b", "ab"),
+        ("<title>no</title>yes", "yes"),
+        ("<html><head><meta x><title>t</title><p>body", "body"),
+        ("<body>a<body>b</body>c</html>d", "abcd"),
+        ("<textarea>in &amp; <b></textarea>", "in & <b>"),
+        ("<select><option>a<option selected>b</select>", "a\nb"),
+        ("<input value=no type=text>x", "x"),
+        ("x&nbsp;y &lt;z&gt; &#233; &unknown;", "x y <z> é &unknown;"),
+        ("<p>one &mdash; two", "one — two"),
+        ("<p title='a > b'>c", "c"),
+        ("<p title='open>c", "c"),
+        ("<P>UP<DIV CLASS=x>DOWN</DIV>", "UP\n\nDOWN"),
+        ("<custom-tag>kept</custom-tag>", "kept"),
+    ],
+)
+def test_layout(html, text):
+    assert visible_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<script>x</script>", "<SCRIPT>if (a<b) '</p>'</SCRIPT >", "<style>p{}</style>", "<script>never ends", "<noscript>x</noscript>", "<template><p>x</template>", "<div hidden>x</div>",
+        "<p style='color:red; DISPLAY : NONE'>x</p>", "<p style=visibility:hidden>x</p>", "<div aria-hidden=true>x</div>", "<iframe>x</iframe>", "<dialog>x</dialog>", "<svg><text>x</text></svg>", "<input type=hidden value=x>", "<div hidden><p>x<ul><li>x</ul></div>", "<!-- x", "<head><title>x</title></head>",
+    ],
+)
+def test_hidden(html):
+    assert visible_text(f"<p>before</p>{html}") == "before"
+
+
+def test_shown_again():
+    assert visible_text("<div style='display:block'>a</div><dialog open>b</dialog><div hidden=until-found>c</div>") == "a\nb\nc"
+
+
+def test_list_items_hold_blocks():
+    assert visible_text("<ol><li><p>a</p><p>b</p><li><table><tr><td>x<td>y</table></ol>") == "1. a\n   b\n2. x  y"
+
+
+def test_nested_tables():
+    assert visible_text("<table><tr><td><table><tr><td>a<td>b</table><td>c</table>") == "a  b  c"
+
+
+def test_cells_keep_their_columns():
+    html = "<table><thead><tr><th>Name<th>Qty<tbody><tr><td>bolt<td>12<tr><td>washer, large<td>3</table>"
+    lines = visible_text(html).split("\n")
+    assert [x.index(y) for x, y in zip(lines, ("Qty", "12", "3"))] == [len("washer, large") + 2] * 3
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p>", "<table><tr><td>", "<ul><li>", "<b><i>", "</p>", "<a href='", "<", "<!--", "&amp;", "<li>", "<tr>", "<script>", "<td rowspan=99 colspan=99>x"])
+def test_long_and_deep_pages(piece):
+    start = time.time()
+    visible_text(piece * 20_000)
+    assert time.time() - start < 30
+
+
+class Words(HTMLParser):
+    """Words of the pages' plain parts, by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.off, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style", "title")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words += re.findall(r"\w+", data)
+
+
+def test_query(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries()["op3_html"](spark, SMALL).collect()}
+    assert got.keys() == pages.keys()
+    for i, html in pages.items():
+        assert got[i] == visible_text(html or "")
+        assert "<script" not in got[i] and not re.search(r"</(p|div|td|li)>", got[i])
+        if html and not re.search(r"hidden|none|noscript|template|<svg|<head|<iframe|<canvas", html):
+            p = Words()
+            p.feed(html)
+            have = re.findall(r"\w+", got[i])
+            assert not [w for w in set(p.words) if w not in have and w not in " ".join(have)]
+
+
+def test_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (None, "u", ""), (3, "u", "x" * 300_000)], "page_id bigint, url string, html string")
+    assert cases.rows(extract(df)) == sorted([(1, "a"), (1, "a"), (2, ""), (None, ""), (3, "x" * 300_000)], key=repr)
+    assert cases.rows(extract(df.limit(0))) == []
+    cases.same_with_clashes(df, extract)
