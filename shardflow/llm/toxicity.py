@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -23,6 +23,8 @@ SPAN, DECAY = 7, 0.8
 FLOOR = 0.4
 #: Landmarks that are bounded together.
 GROUP = 8
+#: Units of one length that are compared at once.
+BATCH = 1024
 #: A power of a kernel is one, and tells words of the same syllables better apart.
 POWER = 2
 #: Words that a worker remembers, and the longest of them.
@@ -103,8 +105,8 @@ class Kernel:
         for width, at in by.items():
             if width < 3:
                 continue
-            for lo in range(0, len(at), 4096):
-                some = np.array(at[lo : lo + 4096])
+            for lo in range(0, len(at), BATCH):
+                some = np.array(at[lo : lo + BATCH])
                 f, w = features(codes([units[n] for n in some], width))
                 place, norm = self.place[f], norms(f, w)
                 w = w.astype(np.float32)[None, None, :]
@@ -113,7 +115,7 @@ class Kernel:
                 for cut in np.array_split(near, len(near) // 256 + 1):
                     if not len(cut):
                         continue
-                    k = np.matmul(w, self.z[place[cut]])[:, 0, :] / norm[cut, None]
+                    k = np.matmul(w, self.z[place[cut]])[:, 0, :] / norm[cut, None].astype(np.float32)
                     k = np.where(k < FLOOR, 0, k**POWER)
                     hit = k.any(1)
                     who.append(some[cut[hit]])
@@ -195,20 +197,34 @@ class Scorer:
         return (rows @ self.model.alpha + self.model.bias).tolist()
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps over the support vectors; y is -1 or 1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    reg = np.eye(x1.shape[1])
+def svm(blocks: list[tuple[np.ndarray, float, np.ndarray]], c: float = 1.0) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps over the support vectors. A block is rows, their sign and their
+    weights (rows of weight 0 don't count); blocks are read a few rows at a time and never copied whole."""
+    size = blocks[0][0].shape[1] + 1
+    reg = np.eye(size)
     reg[-1, -1] = 1e-3
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(size)
+
+    def short(w: np.ndarray) -> Iterator[tuple[np.ndarray, float, np.ndarray, np.ndarray]]:
+        """Rows on the wrong side of the margin, their sign, weights and how far they miss it."""
+        for x, y, weight in blocks:
+            for at in range(0, len(x), 8192):
+                part, some = x[at : at + 8192], weight[at : at + 8192]
+                gap = 1 - y * (part @ w[:-1] + w[-1])
+                on = (gap > 0) & (some > 0)
+                yield part[on], y, some[on], gap[on]
 
     def loss(w: np.ndarray) -> float:
-        return 0.5 * w @ reg @ w + c * (weight * np.maximum(0, 1 - y * (x1 @ w)) ** 2).sum()
+        return 0.5 * w @ reg @ w + c * sum((weight * gap**2).sum() for _, _, weight, gap in short(w))
 
     for _ in range(50):
-        on = y * (x1 @ w) < 1
-        a, b = x1[on] * (2 * c * weight[on])[:, None], y[on]
-        step = np.linalg.solve(reg + a.T @ x1[on], a.T @ b) - w
+        h, g = reg.copy(), np.zeros(size)
+        for x, y, weight, _ in short(w):
+            x1 = np.hstack([x, np.ones((len(x), 1))])
+            a = (2 * c * weight)[:, None] * x1
+            h += a.T @ x1
+            g += y * a.sum(0)
+        step = np.linalg.solve(h, g) - w
         rate, now = 1.0, loss(w)
         while loss(w + rate * step) > now and rate > 1e-4:
             rate /= 2
@@ -282,19 +298,21 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
             known[w] = unit(w)[:WIDTH]
         units.append([u for u in map(known.__getitem__, words) if u])
     group = families(units)
-    number, count = (set(), set()), (defaultdict(set), defaultdict(set))
-    for us, g, label in zip(units, group, toxic):
-        number[label].add(g)
-        for u in set(us):
-            count[label][u].add(g)
-    bad, good = ({u: len(g) for u, g in c.items()} for c in (count[1], count[0]))
-    share = len(number[1]) / max(1, len(number[0]) + len(number[1]))
+    number, count = [0, 0], (Counter(), Counter())
+    together = defaultdict(list)
+    for n, (g, label) in enumerate(zip(group, toxic)):
+        together[label, g].append(n)
+    for (label, _), members in together.items():
+        number[label] += 1
+        count[label].update(set().union(*(units[n] for n in members)))
+    good, bad = count
+    share = number[1] / max(1, sum(number))
 
     def evidence(u: str) -> float:
-        p, q = bad[u], good.get(u, 0)
+        p, q = bad[u], good[u]
         return 2 * (p * np.log(p / ((p + q) * share)) + (q * np.log(q / ((p + q) * (1 - share))) if q else 0.0))
 
-    strong = {u: e for u in sorted(bad) if len(u) > 2 and bad[u] > 3 and bad[u] > 3 * good.get(u, 0) * share / (1 - share + 1e-9) and (e := evidence(u)) > 22}
+    strong = {u: e for u in sorted(bad) if len(u) > 2 and bad[u] > 3 and bad[u] > 3 * good[u] * share / (1 - share + 1e-9) and (e := evidence(u)) > 22}
     tops = sorted(strong, key=lambda u: -strong[u])[: 2 * landmarks // 3]
     none = Model([], np.zeros(0, np.float32), -1.0)
     if not tops or share == 1:
@@ -311,11 +329,13 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     every = sorted({u for us in units for u in us})
     at, rows = kernel.rows(every)
     place = {every[n]: i for i, n in enumerate(at.tolist())}
-    mapped = (rows @ root).astype(np.float32)
+    mapped, f = (rows @ root.astype(np.float32)), rows[:, : len(tops)].max(1)
+    del rows
     hits = [sorted({place[u] for u in us if u in place}) for us in units]
-    calm = np.array([i for u, i in place.items() if u in good], np.int64)
-    often = np.array([good[u] for u in place if u in good], np.float64)
-    sure = np.array([place[u] for u in tops], np.int64)
+    calm = np.zeros(len(mapped))
+    for u, i in place.items():
+        calm[i] = 0.3 * good[u] + 0.3 if good[u] else 0.0
+    sure = mapped[[place[u] for u in tops]]
     trust = np.array([bad[u] for u in tops], np.float64)
     random = np.random.default_rng(5)
     forms = kernel.rows(sorted({x for u in tops for x in altered(u, random)} - set(good)))[1] @ root.astype(np.float32)
@@ -324,16 +344,12 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
         if t and h:
             seen.setdefault(g, h)
     zero = np.zeros((1, len(root)), np.float32)
-    f = rows[:, : len(tops)].max(1)
     for _ in range(4):
-        witness = [max(h, key=lambda i: f[i]) for h in seen.values()]
+        witness = mapped[[max(h, key=lambda i: f[i]) for h in seen.values()]]
         n = len(witness)
-        xs = np.concatenate([mapped[witness], mapped[sure], forms, mapped[calm], zero])
-        ys = np.repeat([1.0, -1.0], [n + len(sure) + len(forms), len(calm) + 1])
-        ws = np.concatenate([np.full(n, 2.0), trust, np.full(len(forms), n / max(1, len(forms))), 0.3 * often + 0.3, [3.0 * n]])
-        w, bias = svm(xs, ys, ws)
-        alpha = root @ w
-        f = rows @ alpha
+        w, bias = svm([(witness, 1.0, np.full(n, 2.0)), (sure, 1.0, trust), (forms, 1.0, np.full(len(forms), n / max(1, len(forms)))), (mapped, -1.0, calm), (zero, -1.0, np.array([3.0 * n]))])
+        f = mapped @ w
+    alpha = root @ w
     model = Model(kernel.landmarks, alpha.astype(np.float32), bias)
     top = np.array([max([bias, *(bias + f[h])]) for h in hits])
     model.slope, model.shift = _sigmoid(top, np.array([1.0 if t else -1.0 for t in toxic]))
