@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 _made: dict[str, str] = {}
+#: Of a worker: what operations keep from one task to the next, by name.
+memory: dict[str, dict] = {}
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
@@ -81,7 +83,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def on_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with this package sent to the workers first."""
+def on_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, holds: str = "") -> DataFrame:
+    """mapInArrow with this package sent to the workers first. What a worker remembers between tasks (`memory`) is given up
+    when it goes on to an operation that doesn't hold it: workers serve one stage after another."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in set(memory) - {holds}:
+            del memory[name]
+        pa.default_memory_pool().release_unused()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)

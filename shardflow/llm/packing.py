@@ -104,7 +104,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int, id_col: st
         encoder, part, seen = ids(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows, who = [], []
-            for at, data in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            texts = (t for k in range(0, batch.num_rows, 128) for t in encoder.encode(batch.column(1).slice(k, 128).to_pylist()))
+            for at, data in enumerate(texts):
                 data += tail
                 n = len(data) // 4
                 for k, start in enumerate(range(0, n, capacity)):
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end: int, id_col: st
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
 
-    return on_batches(base, run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint")
+    return on_batches(base, run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint", "ids")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

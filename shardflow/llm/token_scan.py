@@ -61,7 +61,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, end: int, block: int = 1 << 1
         if held:
             yield from rows(True)
 
-    return on_batches(base, run, f"file int, block bigint, ids binary, doc_ids array<{kind}>")
+    return on_batches(base, run, f"file int, block bigint, ids binary, doc_ids array<{kind}>", "ids")
 
 
 def scan(blocks: DataFrame, end: int, kind_of_id: str = "<u2") -> DataFrame:

@@ -7,10 +7,10 @@ import os
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers, and the longest of them, in bytes.
-WORDS, LONGEST = 1_000_000, 48
+from shardflow.llm.common import memory
 
-_open: dict[tuple[str, bool], Ids] = {}
+#: Words whose ids a worker remembers, and the longest of them, in bytes.
+WORDS, LONGEST = 650_000, 48
 
 
 class Ids:
@@ -69,6 +69,7 @@ class Ids:
 
 def ids(path: str, plain: bool = False, remember: int = WORDS) -> Ids:
     """One for each worker process and vocabulary. plain: strings of special tokens are ordinary text."""
-    if (path, plain) not in _open:
-        _open[path, plain] = Ids(path, plain, remember)
-    return _open[path, plain]
+    mine = memory.setdefault("ids", {})
+    if (path, plain) not in mine:
+        mine[path, plain] = Ids(path, plain, remember)
+    return mine[path, plain]

@@ -28,7 +28,7 @@ BATCH = 1024
 #: A power of a kernel is one, and tells words of the same syllables better apart.
 POWER = 2
 #: Words that a worker remembers, and the longest of them.
-WORDS, LONGEST = 800_000, 48
+WORDS, LONGEST = 600_000, 48
 #: Labelled documents that training reads, of each label, taken by hash.
 SAMPLE = 3000
 LANDMARKS = 192
@@ -380,8 +380,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            who, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            s = [model.score(v) for at in range(0, len(texts), 128) for v in scorer.values(texts[at : at + 128])]
+            who = b.column(0).to_pylist()
+            parts = (b.column(1).slice(k, 128).to_pylist() for k in range(0, b.num_rows, 128))
+            s = [model.score(v) for texts in parts for v in scorer.values([t or "" for t in texts])]
             out = [b.column(0), pa.array([held_out(d) for d in who]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
 
@@ -397,8 +398,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            texts = [t or "" for t in b.column(place).to_pylist()]
-            s = [model.score(v) for i in range(0, len(texts), 128) for v in scorer.values(texts[i : i + 128])]
+            parts = (b.column(place).slice(k, 128).to_pylist() for k in range(0, b.num_rows, 128))
+            s = [model.score(v) for texts in parts for v in scorer.values([t or "" for t in texts])]
             yield b.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
 
     return on_batches(plain, run, plain.schema).toDF(*names)
