@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce as fold
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,23 +95,23 @@ def reduce_with(df: DataFrame, f: Callable[[object, object], object], column: st
 
 
 def reduce_by_key_with(df: DataFrame, f: Callable[[object, object], object]) -> DataFrame:
-    """(key, value) by an opaque function. Each partition folds its keys first, so a hot key reaches its final task
-    as one row for each partition."""
+    """(key, value) by an opaque function; keys are values that Python can hash. Each partition folds its keys first, so
+    a hot key reaches its final task as one row for each partition; the same step then folds those."""
     ship(df.sparkSession)
     pair = df.select("key", "value")
 
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at: dict = {}
-        for x in frames:
-            for k, v in zip(x["key"].tolist(), x["value"].tolist()):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kinds = {}, None
+        for b in batches:
+            kinds = b.schema
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if isinstance(k, float):  # one NaN and one zero
+                    k = k + 0.0 if k == k else math.nan
                 at[k] = f(at[k], v) if k in at else v
         if at:
-            yield pd.DataFrame({"key": list(at), "value": list(at.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((list(at), list(at.values())), kinds.types)], ["key", "value"])
 
-    def whole(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [x["key"].iloc[0]], "value": [fold(f, x["value"].tolist())]})
-
-    return pair.mapInPandas(part, pair.schema).groupBy("key").applyInPandas(whole, pair.schema)
+    return pair.mapInArrow(part, pair.schema).repartition("key").mapInArrow(part, pair.schema)
 
 
 def map_groups(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

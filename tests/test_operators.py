@@ -223,3 +223,11 @@ def test_opaque_steps_stay_parallel(spark):
         text = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition 1, false" not in text and "epartition" in text
     assert [r[0] for r in ordering.sort_by_comparator(df, lambda a, b: a > b).collect()] == list(range(999, -1, -1))
+
+
+def test_opaque_fold_of_null_and_odd_float_keys(spark):
+    add = lambda a, b: a + b
+    whole = spark.createDataFrame([(None, 1), (None, 2), (3, 4)], "key bigint, value bigint").repartition(3)
+    assert got(agg.reduce_by_key_with(whole, add)) == [(3, 4), (None, 3)]
+    odd = spark.createDataFrame([(math.nan, 1), (math.nan, 2), (0.0, 4), (-0.0, 8), (None, 16)], "key double, value int").repartition(4)
+    assert sorted(r["value"] for r in agg.reduce_by_key_with(odd, add).collect()) == [3, 12, 16]
