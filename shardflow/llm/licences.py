@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +32,17 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["this is free and unencumbered software released into the public domain", "spdx-license-identifier unlicense"],
     "Proprietary": ["all rights reserved", "copyright c all rights reserved", "proprietary and confidential unauthorized copying is strictly prohibited"],
 }
-#: A line is looked at if it has one of these.
-CUES = ("licen", "copyright", "rights reserved", "spdx", "public domain", "permission is hereby", "redistribution", "proprietary")
+#: Whole texts of short licences, without their titles and copyright lines.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+FULL: dict[str, str] = {"MIT": _MIT, "BSD-3-Clause": _BSD + _NAMES + _AS_IS, "BSD-2-Clause": _BSD + _AS_IS, "ISC": _ISC}
+#: A text is compared around each word that has one of these; every template has such a word.
+CUES = ("licen", "copyright", "reserved", "spdx", "domain", "hereby", "redistribution", "proprietary")
+#: Words at which a whole text of FULL begins.
+BEGINS = ("permission", "redistribution")
 #: Least cosine of a header.
 LEAST = 0.7
 #: A file is a licence file by its name, or if headers are this part of its words.
@@ -46,81 +56,179 @@ def terms(line: str) -> list[str]:
     return [t for t in (w.strip(_EDGE) for w in line.lower().split()) if t]
 
 
-VOCABULARY = sorted({t for v in TEMPLATES.values() for x in v for t in terms(x)})
+VOCABULARY = sorted({t for v in [*TEMPLATES.values(), [*FULL.values()]] for x in v for t in terms(x)})
+#: Words before and behind a cue that a window can have: some more than the longest template.
+REACH = max(len(terms(x)) for v in TEMPLATES.values() for x in v) + 4
+#: Words of the longest whole text.
+LONGEST = max(len(terms(x)) for x in FULL.values())
+#: Distinct words that a task counts before it gives them on.
+_HELD = 200_000
+
+
+def cued(words: list[str]) -> list[int]:
+    return [i for i, t in enumerate(words) if any(c in t for c in CUES)]
+
+
+def near(words: list[str]) -> set[str]:
+    """The words that are compared with templates."""
+    found = set()
+    for p in cued(words):
+        found.update(words[max(0, p - REACH) : p + REACH + 1])
+    for p, t in enumerate(words):
+        if t in BEGINS:
+            found.update(words[p : p + LONGEST])
+    return found
 
 
 def frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """How many documents there are, and in how many each word of the templates is: one number for each of a fixed list."""
-    place = {t: i for i, t in enumerate(VOCABULARY)}
+    """How many documents there are, and in how many each word is. All words of all documents are counted; the driver gets
+    those of the templates and of the stretches that are compared with them, if more than one document has them."""
+    fixed = set(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(place) + 1, np.int64)
+        counts, close = Counter(), set()
+
+        def rows() -> pa.RecordBatch:
+            ws = list(counts)
+            cols = [pa.array(ws, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([w in close for w in ws], pa.bool_())]
+            return pa.RecordBatch.from_arrays(cols, ["term", "n", "near"])
+
         for b in batches:
-            n[-1] += b.num_rows
             for x in b.column(0):
-                words = set((x.as_py() or "").lower().split())
-                for t in {w.strip(_EDGE) for w in words} & place.keys():
-                    n[place[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], ["term", "n"])
+                low = (x.as_py() or "").lower()
+                words = {w.strip(_EDGE) for w in set(low.split())}
+                words.add("")  # stands for the documents
+                counts.update(words)
+                if any(c in low for c in (*CUES, *BEGINS)):
+                    close |= near(terms(low))
+                if len(counts) > _HELD:
+                    yield rows()
+                    counts, close = Counter(), set()
+        yield rows()
 
-    got = {r["term"]: r["n"] for r in on_batches(docs.select(text), run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return got.get(len(place), 0), {t: got.get(i, 0) for t, i in place.items()}
+    all_ = on_batches(docs.select(text), run, "term string, n bigint, near boolean").groupBy("term").agg(F.sum("n").alias("n"), F.max("near").alias("near"))
+    got = {r["term"]: r["n"] for r in all_.where(F.col("term").isin("", *fixed) | (F.col("near") & (F.col("n") > 1))).select("term", "n").collect()}
+    return got.pop("", 0), {t: 0 for t in fixed} | got
 
 
 class Templates:
-    """Sparse unit vectors of all templates, by word."""
+    """Sparse unit vectors of all templates, by word. Words without a frequency are in `unseen` documents."""
 
-    def __init__(self, n: int, df: dict[str, int]):
+    def __init__(self, n: int, df: dict[str, int], unseen: int = 0):
         self.idf = {t: float(np.log((1 + n) / (1 + k)) + 1) for t, k in df.items()}
-        self.rare = float(np.log(1 + n) + 1)
-        self.names, self.by = [], {}
+        self.rare = float(np.log((1 + n) / (1 + unseen)) + 1)
+        self.names, self.by, self.telling, self.weak = [], {}, [], set()
+        of = {name: {t for x in texts for t in terms(x)} for name, texts in TEMPLATES.items()}
         for name, texts in TEMPLATES.items():
+            others = set().union(*(ws for k, ws in of.items() if k != name))
             for text in texts:
                 v = self.vector(terms(text))
                 for t, x in v.items():
                     self.by.setdefault(t, []).append((len(self.names), x))
+                self.telling.append(v.keys() - others)
+                if "reserved" in v:
+                    self.weak.add(len(self.names))
                 self.names.append(name)
+        self.dense = {}
+        for t, at in self.by.items():
+            self.dense[t] = np.zeros(len(self.names))
+            for i, x in at:
+                self.dense[t][i] = x * self.idf.get(t, self.rare)
+        self.none = np.zeros(len(self.names))
+        self.full = [(name, len(terms(x)), self.vector(terms(x))) for name, x in FULL.items()]
+        self.seen: dict[tuple, tuple | None] = {}
 
     def vector(self, words: list[str]) -> dict[str, float]:
-        v = {t: (1 + np.log(k)) * self.idf.get(t, self.rare) for t, k in Counter(words).items()}
-        norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        v = {t: (1 + math.log(k)) * self.idf.get(t, self.rare) for t, k in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / norm for t, x in v.items()}
 
-    def best(self, words: list[str]) -> tuple[float, str | None]:
-        """Cosine and licence of the nearest template; of equal ones the first listed."""
-        scores: dict[int, float] = {}
+    def scores(self, words: list[str]) -> dict[int, float]:
+        """Cosines by template."""
+        out: dict[int, float] = {}
         for t, x in self.vector(words).items():
             for i, y in self.by.get(t, ()):
-                scores[i] = scores.get(i, 0.0) + x * y
+                out[i] = out.get(i, 0.0) + x * y
+        return out
+
+    def best(self, words: list[str]) -> tuple[float, str | None]:
+        """Cosine and licence of the nearest template; of equal ones the first listed."""
+        scores = self.scores(words)
         if not scores:
             return 0.0, None
         at = min(scores, key=lambda i: (-round(scores[i], 9), i))
         return min(1.0, scores[at]), self.names[at]
 
+    def window(self, words: list[str], p: int) -> tuple[int, int, float, str, bool] | None:
+        """The window with word p that is nearest to a template, of all windows that reach REACH words before and behind it
+        at most: start, end, cosine, licence, whether the template is a weak one. A template that has words which no other
+        licence has counts only where the window has one of these."""
+        lo = max(0, p - REACH)
+        part, at = words[lo : p + REACH + 1], p - lo
+        key = (at, *part)
+        if key not in self.seen:
+            if len(self.seen) > 20_000:
+                self.seen.clear()
+            self.seen[key] = self._window(part, at)
+        got = self.seen[key]
+        return got and (got[0] + lo, got[1] + lo, *got[2:])
+
+    def _window(self, part: list[str], at: int) -> tuple[int, int, float, str, bool] | None:
+        held = set(part)
+        open_ = np.array([not t or not t.isdisjoint(held) for t in self.telling])
+        last, before = {}, np.empty(len(part), int)
+        for i, t in enumerate(part):
+            before[i], last[t] = last.get(t, -1), i
+        # No cosine is above this: repeated words count fully in the product and once in the norm.
+        start, end = np.arange(at + 1), np.arange(at + 1, len(part) + 1)
+        dots = np.concatenate([self.none[None], np.cumsum([self.dense.get(t, self.none) for t in part], 0)])
+        square = np.array([self.idf.get(t, self.rare) ** 2 for t in part])
+        inside = (np.arange(len(part)) >= start[:, None]) & (before < start[:, None])
+        norms = np.sqrt(np.cumsum(np.where(inside, square, 0), 1)[:, end - 1])
+        bound = ((dots[end][None] - dots[start][:, None]) * open_).max(2) / norms
+        found, least = None, LEAST
+        a, b = np.nonzero(bound >= LEAST - 1e-9)
+        for i in np.argsort(-bound[a, b], kind="stable"):
+            s, e = int(start[a[i]]), int(end[b[i]])
+            if bound[a[i], b[i]] < least - 1e-9:
+                break
+            ws = part[s:e]
+            for k, x in self.scores(ws).items():
+                rank = (round(x, 9), k not in self.weak, -k)
+                if x >= LEAST and (found is None or rank > found[0]) and (not self.telling[k] or not self.telling[k].isdisjoint(ws)):
+                    found, least = (rank, s, e, min(1.0, x), self.names[k], k in self.weak), x
+        return found and found[1:]
+
+    def block(self, words: list[str], p: int) -> tuple[int, int, float, str, bool] | None:
+        """As `window`: the nearest whole text that begins at word p."""
+        found = None
+        for name, n, y in self.full:
+            x = sum(v * y.get(t, 0.0) for t, v in self.vector(words[p : p + n]).items())
+            if x >= LEAST and (found is None or x > found[2]):
+                found = (p, min(len(words), p + n), min(1.0, x), name, False)
+        return found
+
     def scan(self, text: str) -> tuple[str | None, float, int, float]:
-        """Licence, cosine, number of headers, and their part of the words. Headers are lines with a cue, and
-        pairs of such lines that follow each other."""
+        """Licence, cosine, number of headers, and their part of the words. Headers are whole texts of short licences, and
+        the windows around cues, wherever lines and sentences end, that are nearest to a template; those that overlap
+        a better one don't count again. "All rights reserved" stands in front of licences too and names one only where no
+        other header does."""
         low = text.lower()
-        if not any(c in low for c in CUES):
+        if not any(c in low for c in (*CUES, *BEGINS)):
             return None, 0.0, 0, 0.0
-        found, words, before = [], 0, None
-        for line in low.split("\n"):
-            t = terms(line)
-            if not any(c in line for c in CUES):
-                before = t if 0 < len(t) <= 12 else None
-                continue
-            score, name = self.best(t)
-            if before:
-                s2, n2 = self.best(before + t)
-                score, name = (s2, n2) if s2 > score else (score, name)
-            before = t
-            if score >= LEAST:
-                found.append((score, name))
-                words += len(t)
+        words = terms(low)
+        blocks = [f for p, t in enumerate(words) if t in BEGINS and (f := self.block(words, p))]
+        windows = [f for p in cued(words) if (f := self.window(words, p))]
+        taken, found = np.zeros(len(words), bool), []
+        for some in (blocks, windows):
+            for f in sorted(some, key=lambda f: (-f[2], f[0], f[1])):
+                if not taken[f[0] : f[1]].any():
+                    taken[f[0] : f[1]] = True
+                    found.append(f)
         if not found:
             return None, 0.0, 0, 0.0
-        score, name = max(found, key=lambda x: (x[0], x[1]))
-        return name, score, len(found), words / max(1, len(low.split()))
+        _, _, score, name, _ = max(found, key=lambda f: (not f[4], f[2], f[3]))
+        return name, score, len(found), float(taken.sum()) / max(1, len(low.split()))
 
 
 def _directory(path: Column) -> Column:
@@ -130,8 +238,8 @@ def _directory(path: Column) -> Column:
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """doc_id, path, licence, score, n_headers, is_licence_file, inherited_licence, inherited_from for every row.
 
-    Inverse document frequencies are counted over all documents, for the templates' words; other words count as the
-    rarest. Every line of the whole text that has a cue is compared. A document without a licence of its own inherits from
+    Inverse document frequencies are counted over all words of all documents. Around every cue of the whole text windows are
+    compared, across lines and sentences. A document without a licence of its own inherits from
     the nearest directory at or above its own that has a licence file (of several, the one with the highest cosine, then the
     first path). Directories, not documents, are joined with their ancestors; documents then join one row for
     each directory, a join that Spark splits where a directory is hot.
@@ -146,7 +254,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     names = ["doc_id", "path", "licence", "score", "n_headers", "share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(n, df)
+        templates = Templates(n, df, 1)
         for b in batches:
             cols = list(zip(*(templates.scan(x.as_py() or "") for x in b.column(1)))) or [()] * 4
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.float64()]

@@ -1,9 +1,10 @@
 import math
+import textwrap
 from collections import Counter
 
 import pytest
 
-from shardflow.llm.licences import TEMPLATES, VOCABULARY, Templates, licences, terms
+from shardflow.llm.licences import FULL, TEMPLATES, VOCABULARY, Templates, frequencies, licences, terms
 from shardflow.llm.queries import queries
 from tests.conftest import SMALL
 from tests.llm import cases
@@ -108,6 +109,36 @@ def test_query(spark):
             assert r["inherited_from"] == brute_inherit({d: d for d in files}, r["path"])[1]
 
 
+def test_notices_inside_longer_lines_and_blocks(spark):
+    prose = " ".join(cases.prose(300, 8).split())
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    mit = "\n".join(f" * {x}" for x in textwrap.wrap(FULL["MIT"], 60))
+    want = {
+        "This file is licensed under the MIT License.": "MIT",
+        "Copyright 2020 Example Corp. Licensed under the MIT License.": "MIT",
+        apache: "Apache-2.0",
+        f"{prose} {apache} {prose}": "Apache-2.0",
+        f"{prose}\n// licensed under\n// the GNU General\n// Public License\n// version 2\n{prose}": "GPL-2.0",
+        mit: "MIT",
+        f"Copyright (c) 2020, X. All rights reserved.\n\n{FULL['BSD-2-Clause']}": "BSD-2-Clause",
+        f"Copyright (c) 2020, X. All rights reserved.\n\n{FULL['BSD-3-Clause']}": "BSD-3-Clause",
+        FULL["ISC"]: "ISC",
+        "Copyright (c) 2020 X. All rights reserved.": "Proprietary",
+        f"{prose} Apache License. Copyright (c) {prose}": None,
+        f"{prose} released under the new license today {prose}": None,
+    }
+    got = run(spark, [(i, t, f"d{i}/x.c") for i, t in enumerate(want)] + [(100 + i, prose, "p") for i in range(30)])
+    assert [got[i]["licence"] for i in range(len(want))] == list(want.values())
+    assert got[5]["is_licence_file"] and got[8]["is_licence_file"] and not got[3]["is_licence_file"]
+
+
+def test_frequencies_of_all_words(spark):
+    docs = cases.of(spark, {1: "file license", 2: "File, other", 3: "file far", 4: None, 5: "license other"})
+    n, df = frequencies(docs, "text")
+    assert (n, df["file"], df["other"], df["license"]) == (5, 3, 2, 2)
+    assert "far" not in df and df["redistribution"] == 0
+
+
 def test_empty_and_clashes(spark):
     none = spark.createDataFrame([], KIND)
     assert cases.rows(licences(none)) == []
