@@ -21,9 +21,17 @@ _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_LONG_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
+_LONG_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9a-fA-F]{2}){24,})(?![0-9A-Za-z])")
+#: Hex digits with colons or line breaks (escaped ones, too) between them.
+_SPLIT_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9a-fA-F](?:(?::|:?(?:\\r)?\\n|:?\r?\n[ \t]*)?[0-9a-fA-F]){47,}+)")
+_DIGIT = re.compile(r"(?<!\\)[0-9a-fA-F]")
+#: How keys, tokens and PEM blocks begin in hex, besides DER.
+_HEX_HEADS = re.compile(r"6f70656e737368|657[7-a]|2d2d2d2d2d42")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+){0,2}")
+#: A line that goes on with a base64 string.
+_NEXT = re.compile(r"(?:\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_-]+={0,2})")
+_CUT = re.compile(r"[/+_-]")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+){0,2}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
 _URL = str.maketrans("-_", "+/")
 
@@ -146,6 +154,97 @@ def _pems(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), stop + len(end)
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens; what fails gives up its first part alone."""
+    at = 0
+    while m := _TOKEN.search(text, at):
+        good = signed_token(m[1], m[2])
+        if good:
+            yield m.start(), m.end()
+        at = m.end() if good else m.end(1)
+
+
+def _der_size(head: bytes) -> int | None:
+    """Bytes of a DER sequence by its first bytes; None if they aren't such, or those of more than 64 KB."""
+    if len(head) < 4 or head[0] != 0x30:
+        return None
+    n, size = head[1], head[1] & 0x7F
+    if n < 0x80:
+        return 2 + n
+    return 2 + size + int.from_bytes(head[2 : 2 + size], "big") if 1 <= size <= 2 else None
+
+
+def _wrapped(text: str, at: int, end: int, head: bytes) -> int | None:
+    """Where a base64 string ends that begins at `at` and goes on in the lines after `end`: DER tells its length, others end
+    with a line shorter than the first."""
+    size = _der_size(head)
+    if head[:1] == b"0" and size is None or head[:1] == b"e" and head[1:2] not in (b"w", b"x", b"y", b"z") or head[:1] == b"-" and not head.startswith(b"-----BEGIN"):
+        return None
+    need = -(-size * 4 // 3) if size else None
+    if need and end - at > need + 2 or not _NEXT.match(text, end):
+        return None
+    pieces, n = [text[at:end]], end - at
+    while (n < need if need else len(pieces) == 1 or len(pieces[-1]) >= len(pieces[0])) and (m := _NEXT.match(text, end)):
+        pieces.append(m[1])
+        n, end = n + len(m[1]), m.end()
+    return end if len(pieces) > 1 and _inside(unbase64("".join(pieces))) else None
+
+
+def _base64(text: str, pems: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Base64 of keys, in one line or several. A candidate that fails is tried again behind each sign that may also stand
+    before base64, and behind the letter of an escaped line break."""
+    done = 0
+    for m in _BASE64.finditer(text):
+        if m.end() <= done or any(a <= m.start() < b for a, b in pems):
+            continue
+        starts = [m.start()] if m.start() >= done else []
+        if text[m.start() - 1 : m.start()] == "\\" and m[0][0] in "nrt":
+            starts.append(m.start() + 1)
+        starts += [m.start() + c.end() for c in _CUT.finditer(m[0])]
+        full = m.start() + len(m[0].rstrip("="))
+        for k, at in enumerate(starts):
+            if at < done or k and text[at : at + 1] not in ("M", "Z", "L", "b"):
+                continue
+            head = unbase64(text[at : min(at + 16, m.end())])
+            if not head or not (head[:1] in b"0e-" or head.startswith(b"openssh")):
+                continue
+            if k and at != starts[-1] and head[:1] in b"e-":
+                continue  # base64 of tokens and PEM blocks has none of the signs
+            size = _der_size(head)
+            whole = not k or (size is None and head[:1] != b"0") or (size is not None and -(-size * 4 // 3) == full - at)
+            end = m.end() if whole and _inside(unbase64(text[at : m.end()])) else _wrapped(text, at, m.end(), head)
+            if end:
+                yield at, end
+                done = end
+                break
+
+
+def _split_hex(text: str) -> Iterator[tuple[int, int]]:
+    """Hex of keys with separators. A key begins a candidate or follows a separator; DER tells its length, others fill the
+    rest of the candidate."""
+    for m in _SPLIT_HEX.finditer(text):
+        places = [d.start() + m.start(1) for d in _DIGIT.finditer(m[1])]
+        if places[-1] - places[0] == len(places) - 1:
+            continue  # no separator
+        digits, done = "".join(text[p] for p in places).lower(), 0
+        for i, p in enumerate(places):
+            if i < done or i and places[i - 1] == p - 1:
+                continue
+            if digits[i] == "6" and digits.startswith("65", i) and i > 1 and re.match("[A-Za-z0-9_-]", chr(int(digits[i - 2 : i], 16))):
+                continue  # a token doesn't begin inside a word, in hex as in text
+            if digits.startswith("30", i):
+                size = _der_size(bytes.fromhex(digits[i : i + 8])) if len(digits) - i >= 8 else None
+                end = i + 2 * size if size else 0
+            else:
+                end = i + (len(digits) - i) // 2 * 2 if _HEX_HEADS.match(digits, i) else 0
+            if not i + 48 <= end <= len(digits) or not _inside(bytes.fromhex(digits[i:end])):
+                continue
+            stop = places[end - 1] + 1
+            if places[end - 1] - p > end - 1 - i and not re.match("[0-9A-Za-z]", text[stop : stop + 1]):
+                yield p, stop
+                done = end
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) in code points, sorted."""
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -157,15 +256,12 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "PRIVATE KEY-----" in text:
         out += [(a, 3, b) for a, b in _pems(text)]
     if "." in text and "e" in text:
-        out += [(m.start(), 4, m.end()) for m in _TOKEN.finditer(text) if m[1][1] in "wxyz" and signed_token(m[1], m[2])] if re.search(r"(?<![A-Za-z0-9_-])e[w-z]", text) else []
-    pems = [(a, b) for a, k, b in out if k == 3]
-    for m in _BASE64.finditer(text):
-        head = unbase64(m[0][:16])
-        if head and (head[:1] in b"0e-" or head.startswith(b"openssh")) and _inside(unbase64(m[0])) and not any(a <= m.start() < b for a, b in pems):
-            out.append((m.start(), 5, m.end()))
+        out += [(a, 4, b) for a, b in _tokens(text)]
+    out += [(a, 5, b) for a, b in _base64(text, [(a, b) for a, k, b in out if k == 3])]
     for m in _LONG_HEX.finditer(text):
-        if m[0][:2] in ("30", "65", "2d", "2D", "6f", "6F") and _inside(bytes.fromhex(m[0])):
-            out.append((m.start(), 6, m.end()))
+        if m[1][:2] in ("30", "65", "2d", "2D", "6f", "6F") and _inside(bytes.fromhex(m[1])):
+            out.append((m.start(1), 6, m.end()))
+    out += [(a, 6, b) for a, b in _split_hex(text)]
     return sorted(out)
 
 

@@ -104,6 +104,39 @@ def test_key_encodings(name, data):
     assert not kinds(base64.b64encode(data[:-2]).decode()) - {"hex"}
 
 
+@pytest.mark.parametrize("data", [PKCS1, SEC1, PKCS8, ENCRYPTED, OPENSSH])
+def test_split_and_prefixed_candidates(data):
+    def spans(text, kind):
+        return [text[a:b] for a, k, b in scan(text) if KINDS[k] == kind]
+
+    h, b = data.hex(), base64.b64encode(data).decode()
+    assert spans(f"k = 0x{h};", "key_hex") == [h]
+    colons = ":".join(re.findall("..", h))
+    assert spans(f"k {colons} x", "key_hex") == [colons]
+    for by in ("\n", "\r\n", "\n    ", "\\n"):
+        lines = by.join(re.findall(".{1,32}", h))
+        assert spans(f"k {lines} x", "key_hex") == [lines]
+        lines = by.join(re.findall(".{1,64}", b))
+        if len(b) > 64:
+            assert spans(f"k {lines} x", "key_base64") == [lines]
+    rows = ":\n    ".join(re.findall(".{1,44}(?=:|$)", colons)).replace("::", ":").replace("    :", "    ")
+    assert spans(f"priv:\n    {rows}\nend", "key_hex") == [rows]
+    assert spans(f"see /{b} there", "key_base64") == [b]
+    assert spans(f"see data/keys/{b} there", "key_base64") == [b]
+    assert spans(f'"key\\n{b}"', "key_base64") == [b]
+
+
+def test_token_behind_a_dotted_name():
+    for name in ("endpoint.auth", "eyelid1234.auth", "e.e", "extremes.x"):
+        text = f"{name}.{TOKEN}"
+        assert scan(text) == [(len(name) + 1, 4, len(text))]
+
+
+def test_split_candidates_take_linear_time():
+    for piece in ("30:82:", "/MIIE", "30:82:01:", "ab\n", "65:79:", "MIIE" + "A" * 60 + "\n", "eyaaaaaa.", "\\nMIIE"):
+        scan(piece * (300_000 // len(piece)))
+
+
 def test_random_bytes_are_no_keys():
     for i in range(300):
         b = b"\x30" + os.urandom(60 + i)
