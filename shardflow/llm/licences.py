@@ -232,7 +232,8 @@ class Templates:
 
 
 def _directory(path: Column) -> Column:
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    """Names of the folders joined by single slashes, with none in front."""
+    return F.array_join(F.filter(F.split(F.regexp_replace(path, r"[^/]*$", ""), "/"), lambda x: x != ""), "/")
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
@@ -267,7 +268,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     files = own.where("is_licence_file and directory is not null").groupBy("directory")
     files = files.agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "licence")).alias("f")).select(F.col("directory").alias("above"), "f.licence")
     dirs = own.where("directory is not null").select("directory").distinct()
-    parts = F.filter(F.split("directory", "/"), lambda x: x != "")
+    parts = F.filter(F.split("directory", "/"), lambda x: x != "")  # none for the root
     level = F.explode(F.sequence(F.lit(0), F.size(parts))).alias("level")
     walk = dirs.select("directory", parts.alias("parts"), level)
     walk = walk.select("directory", "level", F.array_join(F.slice("parts", F.lit(1), F.col("level")), "/").alias("above"))

@@ -83,6 +83,12 @@ def test_odd_paths_and_nulls(spark):
     assert by[3]["inherited_licence"] == "MIT" == by[5]["inherited_licence"] == by[6]["inherited_licence"] and by[3]["inherited_from"] == ""
 
 
+def test_absolute_and_doubled_slashes(spark):
+    rows = [(1, MIT, "/a//b/LICENSE"), (2, "x", "/a/b/c/x"), (3, "x", "a/b//x"), (4, "x", "/a/x"), (5, GPL, "r//LICENSE"), (6, "x", "r/x")]
+    got = run(spark, rows)
+    assert [(got[i]["inherited_licence"], got[i]["inherited_from"]) for i in (2, 3, 4, 6)] == [("MIT", "a/b"), ("MIT", "a/b"), (None, None), ("GPL-3.0", "r")]
+
+
 def test_several_licence_files_of_a_directory(spark):
     """The highest cosine counts, then the first path."""
     rows = [(1, MIT, "d/LICENSE.b"), (2, MIT, "d/LICENSE.a"), (3, "Licensed under the GNU Lesser General Public License", "d/COPYING"), (4, "plain", "d/f")]
