@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 import time
 from html.parser import HTMLParser
@@ -64,13 +66,81 @@ def test_layout(html, text):
     "html",
     [
         "<script>x</script>", "<SCRIPT>if (a<b) '</p>'</SCRIPT >", "<style>p{}</style>", "<script>never ends", "<noscript>x</noscript>", "<template><p>x</template>", "<div hidden>x</div>",
-        "<p style='color:red; DISPLAY : NONE'>x</p>", "<p style=visibility:hidden>x</p>", "<div aria-hidden=true>x</div>", "<iframe>x</iframe>", "<dialog>x</dialog>", "<svg><text>x</text></svg>", "<input type=hidden value=x>", "<div hidden><p>x<ul><li>x</ul></div>", "<!-- x", "<head><title>x</title></head>",
+        "<p style='color:red; DISPLAY : NONE'>x</p>", "<p style=visibility:hidden>x</p>", "<iframe>x</iframe>", "<dialog>x</dialog>", "<svg><title>x</title><defs><text>x</text></defs>x</svg>", "<style>.a,p.b#c{display:none!important}</style><i class='z a'>x</i><p id=c class=b>x", "<style>/* { */ @media screen { b { visibility: hidden } }</style><b>x</b>", "<details>x<p>x</details>", "<div>" * 900 + "<p style=display:none>x" + "</div>" * 900, "<div style='content-visibility:hidden'>x", "<math><annotation>x</annotation></math>", "<input type=hidden value=x>", "<div hidden><p>x<ul><li>x</ul></div>", "<!-- x", "<head><title>x</title></head>",
     ],
 )
 def test_hidden(html):
     assert visible_text(f"<p>before</p>{html}") == "before"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div aria-hidden=true>a</div>", "a"),
+        ("<svg><text>a</text><g><text>b<tspan>c</tspan></text></g></svg>d", "a bc d"),
+        ("<svg><defs/><text x='1'/><text>a</text></svg>", "a"),
+        ("<svg><circle><p>a</svg>b", "ab"),
+        ("<svg><foreignObject><p>a</p></foreignObject></svg>", "a"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+        ("<map>a<area alt=no></map>", "a"),
+        ("<input type=submit value='Send it'><input type=text value=no>", "Send it"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>a</b></div>", "a"),
+        ("<p style='--x-display:none'>a", "a"),
+        ("<p style='display:none-such; background:url(a;display:none)'>a", "a"),
+        ("<style>p{display:none}</style><p style='display:block'>a", "a"),
+        ("<style>.x{display:none} p.x{display:block}</style><p class=x>a", "a"),
+        ("<style media=print>p{display:none}</style><style>@media print{p{display:none}} div p, a:hover, [x]{display:none}</style><p>a", "a"),
+        ("<details><summary>a</summary>no</details><details open><summary>b</summary>c</details>", "a\nb\nc"),
+        ("<table><tr>a<form><td>b<td>c</form></table>d", "a\nb  c\n\nd"),
+        ("<pre>\n\na<table><tr><td>b  c</table></pre>", "\na\n\nb  c"),
+        ("<ul><li>a<br><br>b<li>c</ul>", "- a\n\n  b\n- c"),
+        ("<p style='white-space:pre'>a  b</p>", "a  b"),
+        ("<div>" * 5000 + "a" + "</div>" * 5000 + "b", "a\nb"),
+        ("<ul><li>" * 3 + "a</ul>b", "- - - a\n    b"),
+        ("<table><tr><td colspan=900>a<td>b<tr><td>c", "a  b\nc"),
+        ("<table><tr><td>" * 12 + "a<td>b", "a\nb"),
+    ],
+)
+def test_shown(html, text):
+    assert visible_text(html) == text
+
+
+def test_hidden_parts_of_random_pages():
+    """Pages written from trees: each piece of text is a word of its own, and the words that show are known without
+    parsing anything."""
+    r = random.Random(3)
+    for trial in range(300):
+        want, count = [], itertools.count()
+
+        def part(depth: int, shown: bool, box: bool) -> str:
+            out = []
+            for _ in range(r.randint(1, 3)):
+                word = f"w{trial}x{next(count)}"
+                if depth > 5 or r.random() < 0.4:
+                    out.append(f" {word} ")
+                    if shown and box:
+                        want.append(word)
+                    continue
+                tag = r.choice(("div", "span", "section", "b", "article", "li", "blockquote", "details", "pre", "td"))
+                way = r.choice(("", "", "", "", " hidden", " style='display:none'", " style='visibility:hidden'", " style='visibility:visible'", " class=gone", " class='gone back'", " id=away", " aria-hidden=true", " style='x:y;--display:none'"))
+                now = {" style='visibility:hidden'": False, " style='visibility:visible'": True}.get(way, shown)
+                here = box and way not in (" hidden", " style='display:none'", " class=gone", " id=away")
+                if tag == "details":
+                    here = False
+                if tag == "td":
+                    out.append(f"<table{way}><tr><td>{part(depth + 1, now, here)}</td><td>{part(depth + 1, now, here)}</td></tr></table>")
+                else:
+                    around = ("<ul>", "</ul>") if tag == "li" else ("", "")
+                    out.append(f"{around[0]}<{tag}{way}>{part(depth + 1, now, here)}</{tag}>{around[1]}")
+            return "".join(out)
+
+        page = "<style>.gone{display:none} .gone.back{display:block} #away{display:none}</style>" + part(0, True, True)
+        got = visible_text(page)
+        assert sorted(re.findall(r"w\d+x\d+", got)) == sorted(want), page
+        if "<td" not in page:
+            assert re.findall(r"w\d+x\d+", got) == want
+
+
 def test_shown_again():
     assert visible_text("<div style='display:block'>a</div><dialog open>b</dialog><div hidden=until-found>c</div>") == "a\nb\nc"
 
@@ -89,7 +159,7 @@ def test_cells_keep_their_columns():
     assert [x.index(y) for x, y in zip(lines, ("Qty", "12", "3"))] == [len("washer, large") + 2] * 3
 
 
-@pytest.mark.parametrize("piece", ["<div>", "<p>", "<table><tr><td>", "<ul><li>", "<b><i>", "</p>", "<a href='", "<", "<!--", "&amp;", "<li>", "<tr>", "<script>", "<td rowspan=99 colspan=99>x"])
+@pytest.mark.parametrize("piece", ["<div>", "<p>", "<table><tr><td>", "<ul><li>", "<b><i>", "</p>", "<a href='", "<", "<!--", "&amp;", "<li>", "<tr>", "<script>", "<td rowspan=99 colspan=99>x", "<table><tr><td>x", "<ul><li>x", "<svg><text>x", "<b><p>x", "<details open>x", "<style>p{display:none}</style><p>x", "<tr><td rowspan=9>x<td colspan=1000>y"])
 def test_long_and_deep_pages(piece):
     start = time.time()
     visible_text(piece * 20_000)
