@@ -1,4 +1,4 @@
-"""Toxicity: a subsequence string-kernel SVM with Nystroem landmarks over the words of sentences."""
+"""Toxicity: a subsequence string-kernel SVM with Nystroem landmarks over sentences."""
 
 from __future__ import annotations
 
@@ -15,22 +15,24 @@ from pyspark.sql import functions as F
 
 from shardflow.llm.common import numbered, on_batches, pick
 
-#: Letters of a unit compared at once; longer ones are read in windows of this many, half of them shared.
+#: Letters of a segment compared at once; longer ones are read in windows of this many, half of them shared.
 WIDTH = 24
 #: A gapped triple of letters spans this many at most, and loses DECAY for each.
 SPAN, DECAY = 7, 0.8
-#: Kernel values below this count as 0: the word has nothing of a landmark.
+#: Kernel values below this count as 0: the segment has nothing of a landmark.
 FLOOR = 0.4
 #: Landmarks that are bounded together.
 GROUP = 8
-#: Units of one length that are compared at once.
+#: Segments of one length that are compared at once.
 BATCH = 1024
 #: A power of a kernel is one, and tells words of the same syllables better apart.
 POWER = 2
-#: Words that a worker remembers, and the longest of them.
+#: Neighbouring words of this many letters at most are also read as one.
+SHORT = 4
+#: Words, and joins of two, that a worker remembers, and the longest of them.
 WORDS, LONGEST = 600_000, 48
-#: Labelled documents that training reads, of each label, taken by hash.
-SAMPLE = 3000
+#: Labelled documents that training reads, of each label, taken by hash, and the bytes of their texts together.
+SAMPLE, BYTES = 3000, 96 << 20
 LANDMARKS = 192
 
 _FOLD = {ord(a): b for a, b in zip("0134578@$", "oieastbas")}
@@ -108,14 +110,14 @@ class Kernel:
             for lo in range(0, len(at), BATCH):
                 some = np.array(at[lo : lo + BATCH])
                 f, w = features(codes([units[n] for n in some], width))
-                place, norm = self.place[f], norms(f, w)
-                w = w.astype(np.float32)[None, None, :]
-                most = np.concatenate([np.matmul(w, self.bound[p])[:, 0, :].max(1) for p in np.array_split(place, len(f) // 512 + 1)])
-                near = np.flatnonzero(most >= FLOOR * norm)
+                place, least = self.place[f], FLOOR * np.sqrt((w**2).sum()) * (1 - 1e-6)  # no norm is smaller
+                w1 = w.astype(np.float32)[None, None, :]
+                most = np.concatenate([np.matmul(w1, self.bound[p])[:, 0, :].max(1) for p in np.array_split(place, len(f) // 512 + 1)])
+                near = np.flatnonzero(most >= least)
                 for cut in np.array_split(near, len(near) // 256 + 1):
                     if not len(cut):
                         continue
-                    k = np.matmul(w, self.z[place[cut]])[:, 0, :] / norm[cut, None].astype(np.float32)
+                    k = np.matmul(w1, self.z[place[cut]])[:, 0, :] / norms(f[cut], w)[:, None].astype(np.float32)
                     k = np.where(k < FLOOR, 0, k**POWER)
                     hit = k.any(1)
                     who.append(some[cut[hit]])
@@ -132,11 +134,39 @@ def windows(u: str) -> list[str]:
     return [u[at : at + WIDTH] for at in range(0, max(1, len(u) - WIDTH // 2), WIDTH // 2)]
 
 
+#: A word of its own that stands for a line break.
+BREAK = "\x00"
+
+
+def tokens(text: str) -> list[str]:
+    """The words of a text, with BREAK for line breaks."""
+    return text.replace("\n", f" {BREAK} ").split()
+
+
+def ends(word: str) -> bool:
+    """Whether a sentence ends behind a word: at a mark, or at a line break."""
+    return word == BREAK or word.rstrip("\"')]}*%&$#")[-1:] in ("." , "!", "?", "\u2026")
+
+
+def spelled(units: list[str]) -> list[str]:
+    """Runs of four or more lone letters of a sentence, each as one word; marks that stand alone between them don't
+    count (`units` has empty strings there)."""
+    out, run = [], []
+    for u in [*units, "  "]:
+        if len(u) == 1:
+            run.append(u)
+        elif u:
+            if len(run) > 3:
+                out.append("".join(run))
+            run = []
+    return out
+
+
 @dataclass
 class Model:
-    """What goes to the executors: bounded by the number of landmarks. A word's decision value is the sum of its kernel
-    row times alpha, plus bias; a sentence's and a text's is that of its highest word (the bias alone without any);
-    score = 1 / (1 + exp(-(slope * value + shift)))."""
+    """What goes to the executors: bounded by the number of landmarks. A segment adds its kernel row times alpha to its
+    sentence's decision value, which starts with the bias; a text's value is that of its highest sentence (the bias
+    alone without any); score = 1 / (1 + exp(-(slope * value + shift)))."""
 
     landmarks: list[str]
     alpha: np.ndarray
@@ -148,58 +178,98 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -50, 50))))
 
 
-class Scorer:
-    """Decision values of texts; remembers those of words. A lone letter has -inf: runs of them are words too."""
+class Table:
+    """Distinct words by number: their segment (`unit`), what it adds to a sentence, and flags."""
 
-    def __init__(self, model: Model):
-        self.model, self.kernel = model, Kernel(model.landmarks)
-        self.known: dict[str, float] = {}
-        self.missed = 0
-
-    def words(self, words: set[str]) -> dict[str, float]:
-        names, parts, owner, out = list(words), [], [], {}
-        for n, w in enumerate(names):
-            u = unit(w)
-            out[w] = -np.inf if len(u) == 1 and len(w) < 4 else self.model.bias
+    def __init__(self, kernel: Kernel, alpha: np.ndarray):
+        self.kernel, self.alpha = kernel, alpha
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.of_unit: dict[str, float] = {}
+        self.units: list[str] = []
+        self.value, self.flag = np.empty(0), np.empty(0, np.int8)
+        self.pairs: dict[int, float] = {}
+
+    def adds(self, units: list[str]) -> list[float]:
+        """A segment too long to compare at once has the sum of its different windows; most have 0, those that no
+        landmark is near to."""
+        parts, owner = [], []
+        for n, u in enumerate(units):
             if len(u) > 2:
-                cut = windows(u)
+                cut = list(dict.fromkeys(windows(u)))
                 parts += cut
                 owner += [n] * len(cut)
         who, rows = self.kernel.rows(parts)
-        for p, value in zip(who.tolist(), (rows @ self.model.alpha + self.model.bias).tolist()):
-            w = names[owner[p]]
-            out[w] = max(out[w], value)
-        return out
+        at = np.array(owner, np.int64)[who]
+        return np.bincount(at, (rows @ self.alpha).astype(np.float64), len(units)).tolist()
+
+    def learn(self, words: list[str]) -> None:
+        """Numbers new words."""
+        units = [unit(w) for w in words]
+        new = list(dict.fromkeys(u for u in units if u not in self.of_unit))
+        self.of_unit.update(zip(new, self.adds(new)))
+        flags = [ends(w) | (0 < len(u) <= SHORT) << 1 | (len(u) == 1 and len(w) < 4) << 2 for w, u in zip(words, units)]
+        self.number.update(zip(words, range(len(self.units), len(self.units) + len(words))))
+        self.units += units
+        self.value = np.concatenate([self.value, [self.of_unit[u] for u in units]])
+        self.flag = np.concatenate([self.flag, np.array(flags, np.int8)])
+
+
+class Scorer:
+    """Decision values of texts. What is known of words and joins is given up together when it grows too large."""
+
+    def __init__(self, model: Model):
+        self.model, self.table = model, Table(Kernel(model.landmarks), model.alpha)
 
     def values(self, texts: list[str]) -> list[float]:
-        split = [t.split() for t in texts]
-        every = set().union(*split)
-        got = self.words(every.difference(self.known))
-        if len(self.known) < WORDS:
-            self.known.update(x for x in got.items() if len(x[0]) <= LONGEST)
-        else:  # what came first is mostly what is frequent; begin anew if it no longer is
-            self.missed += len(got)
-            if self.missed > 20 * WORDS:
-                self.known, self.missed = {w: self.known[w] for w in every.intersection(self.known)}, 0
-        known, out = self.known, []
-        for words in split:
-            v = np.fromiter((known[w] if w in known else got[w] for w in words), np.float64, len(words))
-            out.append(max(self.model.bias, float(v.max(initial=-np.inf)), *self._spelled(words, np.isneginf(v))))
-        return out
-
-    def _spelled(self, words: list[str], lone: np.ndarray) -> list[float]:
-        """Values of runs of four or more lone letters, each read as a word."""
-        if lone.sum() < 4:
-            return []
-        edge = np.diff(np.concatenate([[0], lone.astype(np.int8), [0]]))
-        runs = ["".join(map(unit, words[a:b])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if b - a >= 4]
-        who, rows = self.kernel.rows([x for r in runs for x in windows(r)])
-        return (rows @ self.model.alpha + self.model.bias).tolist()
-
-
-def svm(blocks: list[tuple[np.ndarray, float, np.ndarray]], c: float = 1.0) -> tuple[np.ndarray, float]:
+        t = self.table
+        split = [tokens(x) for x in texts]
+        new = set().union(*split).difference(t.number)
+        if len(t.number) + len(t.pairs) + len(new) > WORDS and t.number:
+            t.clear()
+            new = set().union(*split)
+        t.learn(list(new))
+        size = np.array([len(x) for x in split])
+        ids = np.fromiter((t.number[w] for x in split for w in x), np.int64, int(size.sum()))
+        out = np.full(len(texts), self.model.bias)
+        if not len(ids):
+            return out.tolist()
+        owner = np.repeat(np.arange(len(texts)), size)
+        flag, value = t.flag[ids], t.value[ids]
+        stop = (flag & 1).astype(bool)
+        stop[np.cumsum(size)[size > 0] - 1] = True  # a text's end ends its sentence
+        short = (flag & 2).astype(bool)
+        at = np.flatnonzero(short[:-1] & short[1:] & ~stop[:-1])
+        start = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
+        sentence = np.cumsum(np.concatenate([[0], stop[:-1]]))
+        some = np.flatnonzero(value)
+        which, adds = [sentence[some]], [value[some]]
+        if len(at):
+            code, back = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
+            known, code = t.pairs, code.tolist()
+            fresh = [c for c in code if c not in known]
+            known.update(zip(fresh, t.adds([t.units[c >> 32] + t.units[c & 0xFFFFFFFF] for c in fresh])))
+            both = np.array([known[c] for c in code])[back]
+            which.append(sentence[at[both != 0]])
+            adds.append(both[both != 0])
+        which, adds = np.concatenate(which), np.concatenate(adds)
+        order = np.lexsort((adds, which))  # a segment counts once in a sentence, and its value tells it from others
+        which, adds = which[order], adds[order]
+        first = np.concatenate([[True], (which[1:] != which[:-1]) | (adds[1:] != adds[:-1])])[: len(which)]
+        sums = np.bincount(which[first], adds[first], len(start))
+        lone = np.add.reduceat((flag & 4) >> 2, start, dtype=np.int64)
+        for k in np.flatnonzero(lone > 3).tolist():
+            span = ids[start[k] : start[k + 1] if k + 1 < len(start) else None].tolist()
+            sums[k] += sum(t.adds(spelled([t.units[i] if t.flag[i] & 4 or len(t.units[i]) != 1 else "  " for i in span])))
+        np.maximum.at(out, owner[start], sums + self.model.bias)
+        return out.tolist()
+
+
+def svm(blocks: list[tuple[np.ndarray, float, np.ndarray]], c: float = 4.0) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps over the support vectors. A block is rows, their sign and their
-    weights (rows of weight 0 don't count); blocks are read a few rows at a time and never copied whole."""
+    weights (rows of weight 0 don't count); c was chosen by cross-validation over rows that aren't held out; blocks are read a few rows at a time and never copied whole."""
     size = blocks[0][0].shape[1] + 1
     reg = np.eye(size)
     reg[-1, -1] = 1e-3
@@ -279,32 +349,51 @@ def altered(word: str, random: np.random.Generator, n: int = 24) -> list[str]:
     return out
 
 
+def segments(words: list[str], unit_of: dict[str, str]) -> list[list[str]]:
+    """Sentences of a text as lists of their segments: words, joins of two short neighbours, and spelled-out words."""
+    out, now = [], []
+    for w in [*words, None]:
+        if w is not None:
+            now.append(w)
+        if now and (w is None or ends(w)):
+            us = [unit_of[x] for x in now]
+            both = [a + b for a, b in zip(us, us[1:]) if 0 < len(a) <= SHORT and 0 < len(b) <= SHORT]
+            whole = [x for u in [*us, *both] if len(u) > 2 for x in windows(u)]
+            lone = [u if len(u) != 1 or len(x) < 4 else "  " for u, x in zip(us, now)]
+            if whole := whole + [x for r in spelled(lone) for x in windows(r)]:
+                out.append(whole)
+            now = []
+    return out
+
+
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Model:
-    """Learns from labelled documents, whose sentences inherit the label.
+    """Learns from the sentences of labelled documents, which inherit the label.
 
-    Landmarks are the units with the strongest evidence (a log-likelihood ratio): in how many families of toxic
+    The kernel of two sentences is a sum over pairs of their segments (a convolution of the gapped-subsequence kernel),
+    each different segment counting once, so a sentence's row against the landmarks is the sum of its segments' rows, and Nystroem's map of it is the sum of
+    theirs. Landmarks are the segments with the strongest evidence (a log-likelihood ratio): in how many families of toxic
     documents they are, against clean ones (near copies are one family, or a copied document's words would pass
-    for insults), then clean units that are nearest to those. Labels say nothing of single words: of a toxic
-    document's sentences the word with the highest value is the witness and a positive example, of clean ones every
-    word is negative; witnesses are chosen anew a few times. The landmarks with evidence are positive as
-    well. So that gaps and inserted letters are tolerated,
-    altered forms of the strongest units are positive examples as well, unless they are clean words.
+    for insults), then clean segments that are nearest to those. Not every sentence of a toxic document is toxic: the one
+    with the highest value is its witness and a positive example, as are others that the last round held for toxic;
+    every sentence of clean ones is a negative example; witnesses are chosen anew a few times. So that gaps and
+    inserted letters are tolerated, short sentences of altered forms of the strongest segments are positive examples as
+    well, unless they are clean words.
     """
-    known: dict[str, str] = {}
-    units = []
+    unit_of: dict[str, str] = {}
+    said = []
     for text in texts:
-        words = text.split()
-        for w in set(words).difference(known):
-            known[w] = unit(w)[:WIDTH]
-        units.append([u for u in map(known.__getitem__, words) if u])
-    group = families(units)
+        words = tokens(text)
+        for w in set(words).difference(unit_of):
+            unit_of[w] = unit(w)
+        said.append((segments(words, unit_of), [u for u in map(unit_of.__getitem__, words) if u]))
+    group = families([us for _, us in said])
     number, count = [0, 0], (Counter(), Counter())
     together = defaultdict(list)
     for n, (g, label) in enumerate(zip(group, toxic)):
         together[label, g].append(n)
     for (label, _), members in together.items():
         number[label] += 1
-        count[label].update(set().union(*(units[n] for n in members)))
+        count[label].update({u for n in members for s in said[n][0] for u in s})
     good, bad = count
     share = number[1] / max(1, sum(number))
 
@@ -312,12 +401,12 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
         p, q = bad[u], good[u]
         return 2 * (p * np.log(p / ((p + q) * share)) + (q * np.log(q / ((p + q) * (1 - share))) if q else 0.0))
 
-    strong = {u: e for u in sorted(bad) if len(u) > 2 and bad[u] > 3 and bad[u] > 3 * good[u] * share / (1 - share + 1e-9) and (e := evidence(u)) > 22}
+    strong = {u: e for u in sorted(bad) if bad[u] > 3 and bad[u] > 3 * good[u] * share / (1 - share + 1e-9) and (e := evidence(u)) > 22}
     tops = sorted(strong, key=lambda u: -strong[u])[: 2 * landmarks // 3]
     none = Model([], np.zeros(0, np.float32), -1.0)
     if not tops or share == 1:
         return none
-    clean = sorted(u for u in good if len(u) > 2 and u not in strong)
+    clean = sorted(u for u in good if u not in strong)
     who, rows = Kernel(tops).rows(clean)
     near = [clean[who[i]] for i in np.argsort(-rows.max(1, initial=0), kind="stable")[: landmarks - len(tops)]]
     kernel = Kernel(tops + near)
@@ -325,33 +414,48 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     at, rows = kernel.rows(kernel.landmarks)
     gram[at] = rows
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    root = vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T  # of the inverse: Nystroem's map
-    every = sorted({u for us in units for u in us})
+    root = (vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T).astype(np.float32)  # of the inverse: Nystroem's map
+    every = sorted(good.keys() | bad.keys())
     at, rows = kernel.rows(every)
     place = {every[n]: i for i, n in enumerate(at.tolist())}
-    mapped, f = (rows @ root.astype(np.float32)), rows[:, : len(tops)].max(1)
-    del rows
-    hits = [sorted({place[u] for u in us if u in place}) for us in units]
-    calm = np.zeros(len(mapped))
-    for u, i in place.items():
-        calm[i] = 0.3 * good[u] + 0.3 if good[u] else 0.0
-    sure = mapped[[place[u] for u in tops]]
-    trust = np.array([bad[u] for u in tops], np.float64)
+    mapped, hint = rows @ root, rows[:, : len(tops)].max(1)
+    del rows, every
+    # Sentences with the same segments near landmarks are one row; those without any are row 0.
+    rows_of: dict[tuple, int] = {(): 0}
+    hits = [[rows_of.setdefault(tuple(sorted({place[u] for u in s if u in place})), len(rows_of)) for s in ss] for ss, _ in said]
+    keys = list(rows_of)
+    x = np.zeros((len(keys), mapped.shape[1]), np.float32)
+    f = np.zeros(len(keys))
+    for k, hit in enumerate(keys):
+        if hit:
+            x[k], f[k] = mapped[list(hit)].sum(0), hint[list(hit)].max()
+    calm = np.zeros(len(keys))
+    for rows, g, t in zip(hits, group, toxic):
+        if not t:
+            for k in set(rows):
+                calm[k] += 0.5 / max(1, len(together[0, g]) ** 0.5)
     random = np.random.default_rng(5)
-    forms = kernel.rows(sorted({x for u in tops for x in altered(u, random)} - set(good)))[1] @ root.astype(np.float32)
-    seen = {}
-    for h, g, t in zip(hits, group, toxic):
-        if t and h:
-            seen.setdefault(g, h)
+    forms = kernel.rows(sorted({w for u in tops for w in (u, *altered(u, random))} - set(good)))[1] @ root
+    seen: dict[int, list[int]] = {}
+    for rows, g, t in zip(hits, group, toxic):
+        if t and any(rows):
+            seen.setdefault(g, sorted({k for k in rows if k}))
     zero = np.zeros((1, len(root)), np.float32)
+    also = np.zeros(len(keys))
     for _ in range(4):
-        witness = mapped[[max(h, key=lambda i: f[i]) for h in seen.values()]]
-        n = len(witness)
-        w, bias = svm([(witness, 1.0, np.full(n, 2.0)), (sure, 1.0, trust), (forms, 1.0, np.full(len(forms), n / max(1, len(forms)))), (mapped, -1.0, calm), (zero, -1.0, np.array([3.0 * n]))])
-        f = mapped @ w
+        held = np.zeros(len(keys))
+        for ks in seen.values():
+            held[max(ks, key=lambda k: f[k])] += 2
+        n = len(seen)
+        w, bias = svm([(x, 1.0, held + also), (forms, 1.0, np.full(len(forms), n / max(1, len(forms)))), (x, -1.0, calm), (zero, -1.0, np.array([3.0 * n]))])
+        f = x @ w + bias
+        also = np.zeros(len(keys))
+        for ks in seen.values():
+            for k in ks:
+                also[k] += f[k] > 0
     alpha = root @ w
     model = Model(kernel.landmarks, alpha.astype(np.float32), bias)
-    top = np.array([max([bias, *(bias + f[h])]) for h in hits])
+    top = np.array([max([bias, *f[[k for k in rows if k]]]) for rows in hits])
     model.slope, model.shift = _sigmoid(top, np.array([1.0 if t else -1.0 for t in toxic]))
     return model
 
@@ -360,16 +464,29 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most `sample` documents of each label, those with the least hash of doc_id, without held-out ones."""
-    want = pick(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = BYTES) -> tuple[list[str], list[int]]:
+    """At most `sample` documents of each label, those with the least hash of doc_id, without held-out ones, and at most
+    `most` bytes of text together: what the driver gets is bounded. Of documents that repeat with an id one is taken, the
+    shortest; of an id's labels one."""
+    want = pick(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     want = want.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     order = F.xxhash64("doc_id")
     some = [want.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
     few = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows at most
-    got = pick(docs, doc_id=id_col, text=text_col).join(few, "doc_id").where("text is not null").select("doc_id", "text", "label").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
-    return [r[1] for r in rows], [int(r[2]) for r in rows]
+    found = pick(docs, doc_id=id_col, text=text_col).where("text is not null").join(few, "doc_id")
+    size = F.octet_length("text").cast("long")
+    sized = found.groupBy("doc_id", "label").agg(F.min(F.struct(size.alias("n"), F.xxhash64("text").alias("h"))).alias("t"))
+    rows = sorted(sized.select("doc_id", "label", "t.n", "t.h", order.alias("o")).collect(), key=lambda r: (r["o"], r["doc_id"]))
+    upto = np.cumsum([r["n"] for r in rows])
+    taken = [(r["doc_id"], r["label"], r["h"]) for r, n in zip(rows, upto) if n <= most]
+    if not taken:
+        return [], []
+    kinds = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, label {found.schema['label'].dataType.simpleString()}, h bigint"
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, kinds))
+    texts = pick(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"])
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = sorted((r["doc_id"], r["text"], int(r["label"])) for r in texts.toLocalIterator())
+    return [t for _, t, _ in got], [k for _, _, k in got]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -111,6 +111,62 @@ def test_held_out_labels_do_not_train(spark):
     assert len(few) == 10 and sum(kinds) == 5
 
 
+def test_repeated_ids_train_once(spark):
+    """A hot id brings one row to the driver, and long texts stop at a bound in bytes."""
+    marks = [i for i in range(60) if not tox.held_out(i)]
+    rows = [(marks[0], f"copy {k % 7}", "en", "web", 1) for k in range(3000)] + [(i, f"text {i} " * 50, "en", "web", 1) for i in marks[1:]]
+    known = cases.labels(spark, [(i, 0, i % 2) for i in marks] + [(marks[0], 0, 1)] * 40)
+    got, kinds = tox.labelled(cases.docs(spark, rows), known)
+    assert len(got) == len(kinds) == len(marks) and sum(x.startswith("copy") for x in got) == 1
+    few, _ = tox.labelled(cases.docs(spark, rows), known, most=2000)
+    assert 0 < len(few) < 6 and sum(map(len, few)) <= 2000
+    assert tox.labelled(cases.docs(spark, rows), known, most=0) == ([], [])
+
+
+def test_sentences():
+    units = {w: tox.unit(w) for w in ("An", "id", "iot!", "g", "-", "r", "o", "b", "x", "you.", tox.BREAK)}
+    got = tox.segments(tox.tokens("An id iot! g - r o b\nx you."), units)
+    assert got == [["iot", "anid", "idiot"], ["grob"], ["you", "xyou"]]
+    assert tox.tokens("a\n\nb") == ["a", tox.BREAK, tox.BREAK, "b"]
+    assert [w for w in ("a", "a.", 'a!"', "a?)", "a,", "...") if tox.ends(w)] == ["a.", 'a!"', "a?)", "..."]
+
+
+def test_values_by_brute_force(model):
+    """A text's value is that of its highest sentence; a sentence adds up its different segments."""
+    kernel = tox.Kernel(model.landmarks)
+
+    def segment(u):
+        who, rows = kernel.rows(tox.windows(u))
+        return max((rows @ model.alpha).tolist(), default=0.0)
+
+    def brute(text):
+        words = tox.tokens(text)
+        best = model.bias
+        for s in tox.segments(words, {w: tox.unit(w) for w in words}):
+            adds = {round(v, 9) for v in map(segment, dict.fromkeys(s)) if v}
+            best = max(best, model.bias + sum(adds))
+        return best
+
+    texts = [*corpus(40)[0], "", "grob nik", "grobnik grobnik x", "vlek hart. a b", "s m u r z e l", "s - m - u r z e l now", "\n\n", "a grobnik.\nvlekhart smurzel", "ba" * 40 + "grobnik" * 5]
+    for t, v in zip(texts, tox.Scorer(model).values(texts)):
+        assert v == pytest.approx(brute(t), abs=1e-4), t
+
+
+def test_long_segments_are_read_in_windows():
+    for n in (25, 36, 37, 48, 49, 1000):
+        u = "".join(chr(97 + i * i % 26) for i in range(n))
+        cut = tox.windows(u)
+        assert all(len(w) <= tox.WIDTH for w in cut)
+        assert all(any(u[i : i + 12] in w for w in cut) for i in range(n - 11))
+
+
+def test_split_insults_are_found(model):
+    s = tox.Scorer(model)
+    plain = cases.prose(60, 78)
+    for form in ("grob nik", "vlek hart", "smur zel", "drat pok", "g - r o b - n i k"):
+        assert model.score(s.values([f"{plain}. {form} {plain}"])[0]) >= 0.5, form
+
+
 def test_awkward_rows(spark):
     texts, marks = corpus()
     rows = [(1000 + i, t, "en", "web", 1) for i, t in enumerate(texts)] + cases.awkward()
