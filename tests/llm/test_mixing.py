@@ -104,6 +104,48 @@ def test_pareto_order_by_brute_force(spark):
     assert {r["doc_id"] for r in got if r["copies"] > int(expect[r["doc_id"]])} == drawn
 
 
+def test_rows_without_ids_draw_each(spark):
+    """Rows that share an id, or have none, and repeat with their texts are drawn one by one, near the target."""
+    rows = [(None, cases.prose(40, i % 7), "en", "a", 1) for i in range(500)] + [(7, cases.prose(60, 1), "en", "b", 1)] * 300 + [(i, cases.prose(30, i), "en", "c", 1) for i in range(100, 400)]
+    df = cases.docs(spark, rows, 5).cache()
+    got = mix(df).collect()
+    check(rows, got)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 0.01 * t + 60 for s, t in target.items())
+    assert len({r["copies"] for r in got if r["doc_id"] == 7}) == 2
+    want, have = defaultdict(int), defaultdict(int)
+    for r in got:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for r in mixed(df).collect():
+        have[r["doc_id"], r["source"], size(r["text"])] += 1
+    assert {k: v for k, v in want.items() if v} == dict(have)
+
+
+def test_a_long_text_at_the_cut_is_passed_over(spark):
+    """The words come near the target though one text has more than the target lacks, wherever it stands in the order."""
+    for seed in range(4):
+        rows = [(i, cases.prose(20 + i % 9, i), "en", "a", 1) for i in range(150)] + [(900, cases.prose(4000, 3), "en", "b", 1)] + [(1000 + i, cases.prose(25, i), "en", "b", 1) for i in range(200)]
+        got = mix(cases.docs(spark, rows), weights=(3, 1), seed=seed).collect()
+        target = next(r["target"] for r in got if r["source"] == "b")
+        taken = sum(r["taken"] for r in got if r["source"] == "b")
+        assert abs(taken - target) <= 0.01 * target + 25, seed
+
+
+def test_only_long_texts(spark):
+    """Where nothing fits the nearest is taken."""
+    rows = [(i, cases.prose(400, i), "en", "a", 1) for i in range(9)] + [(20, cases.prose(10, 1), "en", "b", 1), (21, cases.prose(3000, 2), "en", "b", 1)]
+    got = mix(cases.docs(spark, rows)).collect()
+    check(rows, got)
+    assert sum(r["taken"] for r in got if r["source"] == "b") == 3010
+
+
+def test_uniform_stays_inside():
+    assert 1 - 2.0**-53 < 1 and (1 - 2.0**-53) / (1 - (1 - 2.0**-53)) > 0
+
+
 def test_rows_of_the_mix(spark):
     plain = cases.docs(spark)
     out = mixed(plain)
