@@ -6,14 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import numbered, on_batches, pick
+from shardflow.llm.common import memory, numbered, on_batches, pick
 
 #: Letters of a segment compared at once; longer ones are read in windows of this many, half of them shared.
 WIDTH = 24
@@ -22,15 +22,17 @@ SPAN, DECAY = 7, 0.8
 #: Kernel values below this count as 0: the segment has nothing of a landmark.
 FLOOR = 0.4
 #: Landmarks that are bounded together.
-GROUP = 8
+GROUP = 6
 #: Segments of one length that are compared at once.
-BATCH = 1024
+BATCH = 512
 #: A power of a kernel is one, and tells words of the same syllables better apart.
 POWER = 2
 #: Neighbouring words of this many letters at most are also read as one.
 SHORT = 4
 #: Words, and joins of two, that a worker remembers, and the longest of them.
 WORDS, LONGEST = 600_000, 48
+#: Texts that are read together.
+PART = 128
 #: Labelled documents that training reads, of each label, taken by hash, and the bytes of their texts together.
 SAMPLE, BYTES = 3000, 96 << 20
 LANDMARKS = 192
@@ -179,7 +181,7 @@ class Model:
 
 
 class Table:
-    """Distinct words by number: their segment (`unit`), what it adds to a sentence, and flags."""
+    """Distinct words by number: their segment (`unit`), what it adds to a sentence, and flags; and what joins add."""
 
     def __init__(self, kernel: Kernel, alpha: np.ndarray):
         self.kernel, self.alpha = kernel, alpha
@@ -189,8 +191,9 @@ class Table:
         self.number: dict[str, int] = {}
         self.of_unit: dict[str, float] = {}
         self.units: list[str] = []
-        self.value, self.flag = np.empty(0), np.empty(0, np.int8)
+        self.value, self.flag = np.zeros(1024), np.zeros(1024, np.int8)
         self.pairs: dict[int, float] = {}
+        self.missed = 0
 
     def adds(self, units: list[str]) -> list[float]:
         """A segment too long to compare at once has the sum of its different windows; most have 0, those that no
@@ -205,20 +208,43 @@ class Table:
         at = np.array(owner, np.int64)[who]
         return np.bincount(at, (rows @ self.alpha).astype(np.float64), len(units)).tolist()
 
-    def learn(self, words: list[str]) -> None:
-        """Numbers new words."""
+    def learn(self, words: list[str]) -> list[str]:
+        """Numbers new words; the segments that were new."""
         units = [unit(w) for w in words]
         new = list(dict.fromkeys(u for u in units if u not in self.of_unit))
         self.of_unit.update(zip(new, self.adds(new)))
-        flags = [ends(w) | (0 < len(u) <= SHORT) << 1 | (len(u) == 1 and len(w) < 4) << 2 for w, u in zip(words, units)]
-        self.number.update(zip(words, range(len(self.units), len(self.units) + len(words))))
+        at, size = len(self.units), len(self.units) + len(words)
+        if size > len(self.value):
+            self.value, self.flag = (np.concatenate([x[:at], np.zeros(2 * size - at, x.dtype)]) for x in (self.value, self.flag))
+        self.value[at:size] = [self.of_unit[u] for u in units]
+        self.flag[at:size] = [ends(w) | (0 < len(u) <= SHORT) << 1 | (len(u) == 1 and len(w) < 4) << 2 for w, u in zip(words, units)]
+        self.number.update(zip(words, range(at, size)))
         self.units += units
-        self.value = np.concatenate([self.value, [self.of_unit[u] for u in units]])
-        self.flag = np.concatenate([self.flag, np.array(flags, np.int8)])
+        return new
+
+    def forget(self, size: int, words: list[str], units: list[str], pairs: list[int]) -> None:
+        """Gives up the latest words, segments and joins. What came first is mostly what is frequent; after very many
+        others all is begun anew."""
+        for d, keys in ((self.number, words), (self.of_unit, units), (self.pairs, pairs)):
+            for k in keys:
+                del d[k]
+        del self.units[size:]
+        self.missed += len(words)
+        if self.missed > 20 * WORDS:
+            self.clear()
+
+
+    def shorten(self, words: list[str]) -> None:
+        """Gives up those of some words that are too long to be met again."""
+        for w in words:
+            if len(w) > LONGEST:
+                at = self.number.pop(w)
+                self.of_unit.pop(self.units[at], None)
+                self.units[at] = ""
 
 
 class Scorer:
-    """Decision values of texts. What is known of words and joins is given up together when it grows too large."""
+    """Decision values of texts. What is learnt of words and joins is kept from one batch to the next."""
 
     def __init__(self, model: Model):
         self.model, self.table = model, Table(Kernel(model.landmarks), model.alpha)
@@ -226,17 +252,27 @@ class Scorer:
     def values(self, texts: list[str]) -> list[float]:
         t = self.table
         split = [tokens(x) for x in texts]
-        new = set().union(*split).difference(t.number)
-        if len(t.number) + len(t.pairs) + len(new) > WORDS and t.number:
-            t.clear()
-            new = set().union(*split)
-        t.learn(list(new))
+        known = len(t.units)
+        full = known + len(t.pairs) >= WORDS
+        new = list(set().union(*split).difference(t.number))
+        units = t.learn(new)
+        pairs: list[int] = []
+        out = self._values(split, pairs)
+        if full:
+            t.forget(known, new, units, pairs)
+        else:
+            t.shorten(new)
+        return out
+
+    def _values(self, split: list[list[str]], pairs: list[int]) -> list[float]:
+        """pairs gets the joins that were new."""
+        t = self.table
         size = np.array([len(x) for x in split])
-        ids = np.fromiter((t.number[w] for x in split for w in x), np.int64, int(size.sum()))
-        out = np.full(len(texts), self.model.bias)
+        ids = np.fromiter(map(t.number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        out = np.full(len(split), self.model.bias)
         if not len(ids):
             return out.tolist()
-        owner = np.repeat(np.arange(len(texts)), size)
+        owner = np.repeat(np.arange(len(split)), size)
         flag, value = t.flag[ids], t.value[ids]
         stop = (flag & 1).astype(bool)
         stop[np.cumsum(size)[size > 0] - 1] = True  # a text's end ends its sentence
@@ -250,6 +286,7 @@ class Scorer:
             code, back = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
             known, code = t.pairs, code.tolist()
             fresh = [c for c in code if c not in known]
+            pairs += fresh
             known.update(zip(fresh, t.adds([t.units[c >> 32] + t.units[c & 0xFFFFFFFF] for c in fresh])))
             both = np.array([known[c] for c in code])[back]
             which.append(sentence[at[both != 0]])
@@ -489,21 +526,31 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     return [t for _, t, _ in got], [k for _, _, k in got]
 
 
+def _scorer(model: Model) -> Scorer:
+    """One for each worker process and model."""
+    mine = memory.setdefault("toxicity", {})
+    key = (tuple(model.landmarks), model.alpha.tobytes(), model.bias, WORDS)
+    if key not in mine:
+        mine.clear()
+        mine[key] = Scorer(model)
+    return mine[key]
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row, by its whole text alone; null texts count as empty."""
     base = pick(docs, doc_id=id_col, text=text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = _scorer(model)
         for b in batches:
             who = b.column(0).to_pylist()
-            parts = (b.column(1).slice(k, 128).to_pylist() for k in range(0, b.num_rows, 128))
+            parts = (b.column(1).slice(k, PART).to_pylist() for k in range(0, b.num_rows, PART))
             s = [model.score(v) for texts in parts for v in scorer.values([t or "" for t in texts])]
             out = [b.column(0), pa.array([held_out(d) for d in who]), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
 
-    return on_batches(base, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return on_batches(base, run, f"doc_id {kind}, held_out boolean, score double, predicted int", "toxicity")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -513,13 +560,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     place = plain.columns.index(at["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = _scorer(model)
         for b in batches:
-            parts = (b.column(place).slice(k, 128).to_pylist() for k in range(0, b.num_rows, 128))
+            parts = (b.column(place).slice(k, PART).to_pylist() for k in range(0, b.num_rows, PART))
             s = [model.score(v) for texts in parts for v in scorer.values([t or "" for t in texts])]
             yield b.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
 
-    return on_batches(plain, run, plain.schema).toDF(*names)
+    return on_batches(plain, run, plain.schema, "toxicity").toDF(*names)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
