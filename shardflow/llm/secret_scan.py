@@ -33,6 +33,8 @@ _NEXT = re.compile(r"(?:\r?\n[ \t]*|(?:\\r)?\\n)([A-Za-z0-9+/_-]+={0,2})")
 _CUT = re.compile(r"[/+_-]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+){0,2}")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+#: Ciphers that DEK-Info names, by how their names begin, and the bytes of a block.
+_CIPHERS = (("AES-", 16), ("CAMELLIA-", 16), ("SEED-", 16), ("DES-", 8), ("RC2-", 8), ("BF-", 8), ("CAST5-", 8), ("IDEA-", 8))
 _URL = str.maketrans("-_", "+/")
 
 
@@ -148,12 +150,24 @@ def _pems(text: str) -> Iterator[tuple[int, int]]:
         stop = text.find(end, m.end(), again if again >= 0 else len(text))
         if stop < 0:
             continue
-        lines = [x for x in text[m.end() : stop].replace("\\n", "\n").split("\n") if ":" not in x]
-        body = unbase64("".join("".join(lines).split()))
-        if body and (key_encoding(body) or "Proc-Type" in text[m.end() : stop]):
+        lines = [x.strip() for x in text[m.end() : stop].replace("\\r", "").replace("\\n", "\n").split("\n")]
+        heads = dict(x.split(":", 1) for x in lines if ":" in x)
+        body = unbase64("".join("".join(x for x in lines if ":" not in x).split()))
+        if body and (key_encoding(body) or _enciphered(heads, body)):
             yield m.start(), stop + len(end)
 
 
+def _enciphered(heads: dict[str, str], body: bytes) -> bool:
+    """Whether a PEM block's header fields say that its body is enciphered, by which cipher, with an initial vector of that
+    cipher's block, and whether the body has whole blocks."""
+    kind = [x.strip() for x in heads.get("Proc-Type", "").split(",")]
+    name, _, vector = heads.get("DEK-Info", "").strip().partition(",")
+    block = next((n for c, n in _CIPHERS if name.upper().startswith(c)), 0)
+    if kind != ["4", "ENCRYPTED"] or not block or not re.fullmatch(rf"[0-9A-Fa-f]{{{2 * block}}}", vector.strip()):
+        return False
+    return len(body) >= 32 and len(body) % block == 0
+
+
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
     """Signed tokens; what fails gives up its first part alone."""
     at = 0

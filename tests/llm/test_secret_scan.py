@@ -167,3 +167,26 @@ def test_long_texts_take_linear_time():
 def test_empty_and_clashes(spark):
     assert cases.rows(secrets(cases.docs(spark, []))) == []
     cases.same_with_clashes(cases.docs(spark), secrets)
+
+
+@pytest.mark.parametrize(
+    "heads, size, good",
+    [
+        ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{iv16}", 64, True),
+        ("Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,{iv8}", 40, True),
+        ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{iv16}", 60, False),
+        ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{iv8}", 64, False),
+        ("Proc-Type: 4,ENCRYPTED\nDEK-Info: NONE,{iv16}", 64, False),
+        ("Proc-Type: 4,ENCRYPTED", 64, False),
+        ("Proc-Type: 4,CLEAR\nDEK-Info: AES-128-CBC,{iv16}", 64, False),
+        ("DEK-Info: AES-128-CBC,{iv16}", 64, False),
+        ("Proc-Type", 64, False),
+    ],
+)
+def test_enciphered_blocks_say_how(heads, size, good):
+    """Old-style enciphered keys count only with their fields parsed and a body of whole blocks."""
+    body = base64.b64encode(bytes(i * 7 % 251 for i in range(size))).decode()
+    heads = heads.format(iv16="0123456789abcdef" * 2, iv8="0123456789ABCDEF")
+    text = f"x -----BEGIN RSA PRIVATE KEY-----\n{heads}\n\n{body[:64]}\n{body[64:]}\n-----END RSA PRIVATE KEY----- y"
+    for t in (text, text.replace("\n", "\\n"), text.replace("\n", "\r\n")):
+        assert (3 in [k for _, k, _ in scan(t)]) == good
