@@ -159,21 +159,31 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 80, depth:
     return Trees(feature, threshold, leaf, start)
 
 
-def train(texts: list[str], good: list[int]) -> Trees:
+def train(x: np.ndarray, good: np.ndarray) -> Trees:
     """Without labels of both kinds the trees keep everything."""
-    if len(set(good)) < 2:
+    if len(set(good.tolist())) < 2:
         return Trees(np.zeros((1, 1), np.int64), np.full((1, 1), np.inf), np.zeros((1, 2)), 1.0)
-    return fit(np.array([statistics(t)[1] for t in texts]), np.array(good, float), list(FEATURES.values()))
+    return fit(x, good.astype(float), list(FEATURES.values()))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[str], list[int]]:
-    """At most `sample` labelled documents, those with the least hash of the id; every fifth (crc32 of the id) is held out."""
-    want = pick(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of at most `sample` labelled documents, those with the least hash of the id; every fifth
+    (crc32 of the id) is held out. Statistics are made on the executors and only they are fetched, one row for an id: of
+    documents that repeat with an id the one with the least statistics, of its labels the least."""
+    want = pick(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     want = want.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     few = F.broadcast(want.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows at most
-    got = pick(docs, doc_id=id_col, text=text_col).join(few, "doc_id").where("text is not null").select("doc_id", "text", "label").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
-    return [r[1] for r in rows], [int(r[2]) for r in rows]
+    found = pick(docs, doc_id=id_col, text=text_col).where("text is not null").join(few, "doc_id").select("doc_id", "label", "text")
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [statistics(t.as_py())[1] for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+
+    each = on_batches(found, run, f"doc_id {kind}, label int, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    rows = sorted(each.collect(), key=lambda r: r["doc_id"])
+    return np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], np.int64)
 
 
 def held_out(doc_id: int) -> bool:

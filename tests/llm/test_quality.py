@@ -58,11 +58,22 @@ def test_query(spark):
 
 
 def test_held_out_rows_do_not_train(spark):
-    docs = cases.of(spark, {i: f"text {i}" for i in range(50)})
-    texts, _ = labelled(docs, cases.labels(spark, [(i, i % 2, 0) for i in range(50)]))
-    assert set(texts) == {f"text {i}" for i in range(50) if not held_out(i)}
-    few, _ = labelled(docs, cases.labels(spark, [(i, i % 2, 0) for i in range(50)]), sample=7)
-    assert len(few) == 7
+    texts = {i: cases.prose(10 + i, i) for i in range(50)}
+    docs, known = cases.of(spark, texts), cases.labels(spark, [(i, i % 2, 0) for i in range(50)])
+    x, y = labelled(docs, known)
+    want = [i for i in range(50) if not held_out(i)]
+    assert x.tolist() == [statistics(texts[i])[1] for i in want] and y.tolist() == [i % 2 for i in want]
+    few, _ = labelled(docs, known, sample=7)
+    assert len(few) == 7 and all(r in x.tolist() for r in few.tolist())
+
+
+def test_repeated_ids_train_once(spark):
+    """However often an id repeats, in documents or labels, the driver gets one row of numbers."""
+    marks = [i for i in range(40) if not held_out(i)]
+    rows = [(marks[0], cases.prose(30, k % 5), "en", "web", 1) for k in range(3000)] + [(i, cases.prose(20, i), "en", "web", 1) for i in marks[1:]]
+    x, y = labelled(cases.docs(spark, rows), cases.labels(spark, [(i, i % 2, 0) for i in marks] + [(marks[0], 1, 0)] * 50))
+    assert len(x) == len(y) == len(marks)
+    assert x[0].tolist() == min(statistics(cases.prose(30, k))[1] for k in range(5))
 
 
 @pytest.fixture(scope="module")
