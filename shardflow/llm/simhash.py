@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.llm.common import keep, numbered, on_batches, pick
@@ -21,6 +22,7 @@ SMALL = 32
 #: Candidates with a common key beyond which they meet under finer keys instead.
 LONG = 4096
 _CHUNK = 1 << 16
+_P = [f"p{k}" for k in range(PIVOTS // 8)]
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -67,11 +69,22 @@ def finer(mask: int, bits: int) -> list[int]:
     return [mask | sum(1 << int(b) for part in some for b in part) for some in combinations(parts, 5)]
 
 
-def pivot_table(fp: np.ndarray, seed: int = 7) -> np.ndarray:
+def references(seed: int = 7) -> np.ndarray:
+    """The reference fingerprints, the same everywhere."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, PIVOTS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def pivot_table(fp: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints to the references, a row each. A pair within d differs by d at most
     in every coordinate (triangle inequality)."""
-    refs = np.random.default_rng(seed).integers(0, 1 << 63, PIVOTS, np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+    return np.bitwise_count(fp[:, None] ^ references()[None, :]).astype(np.int8)
+
+
+def pivot_columns(fp: Column) -> list[Column]:
+    """The same as longs of eight distances each, in a fingerprint's row: computed once and carried along."""
+    signed = [int(x) for x in references().view(np.int64)]
+    byte = lambda k: F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed[k]))).cast("long"), 8 * (k % 8))
+    return [reduce(Column.bitwiseOR, [byte(k) for k in range(at, at + 8)]).alias(f"p{at // 8}") for at in range(0, PIVOTS, 8)]
 
 
 def survivors(table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
@@ -83,9 +96,9 @@ def survivors(table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.
     return at
 
 
-def _pairs(fp: np.ndarray, run: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(fp: np.ndarray, table: np.ndarray, run: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """All links inside short runs of rows with equal `run`."""
-    table, found = pivot_table(fp), []
+    found = []
     for off in range(1, SMALL):
         i = np.flatnonzero(run[off:] == run[:-off]) if off < len(run) else []
         if not len(i):
@@ -97,11 +110,10 @@ def _pairs(fp: np.ndarray, run: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     return fp[i], fp[j]
 
 
-def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span every component of a long run, one fewer than it has members at most. A member is
     compared with those that no component has yet and whose first pivot distance is near; the others fall by
     the rest of the pivot table."""
-    table = pivot_table(fp)
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
     first, free = table[:, 0].astype(np.int64), np.ones(len(fp), bool)
@@ -124,15 +136,16 @@ def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t, key, fp) sorted by t and key; a run can span batches."""
+    """Rows (t, key, fp, pivot columns) sorted by t and key; a run can span batches."""
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        t, key, fp = cols
+        t, key, fp, *pivots = cols
+        table = np.stack(pivots, 1).view(np.int8)
         new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])) if len(t) else np.empty(0, int)
         size = np.diff(np.append(new, len(t)))
         run, n, fp = np.repeat(np.arange(len(new)), size), np.repeat(size, size), fp.view(np.uint64)
-        got = [_pairs(fp[few], run[few], bits)] if (few := (n > 1) & (n <= SMALL)).any() else []
-        got += [_forest(fp[s : s + k], bits) for s, k in zip(new[size > SMALL], size[size > SMALL])]
+        got = [_pairs(fp[few], table[few], run[few], bits)] if (few := (n > 1) & (n <= SMALL)).any() else []
+        got += [_forest(fp[s : s + k], table[s : s + k], bits) for s, k in zip(new[size > SMALL], size[size > SMALL])]
         u, v = (np.concatenate(x).view(np.int64) for x in zip(*got)) if got else (np.empty(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -153,29 +166,32 @@ def _link(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 
 def _finer(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """From (t, fp) rows (t, key, fp) under all finer masks; their t goes on counting behind each other."""
+    """From (t, fp, pivot columns) rows (t, key, fp, pivot columns) under all finer masks; their t goes on counting behind
+    each other."""
     fine = [np.array(finer(m, bits), np.uint64).view(np.int64) for m in masks(bits)]
     for b in batches:
-        t, fp = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+        t, fp, *pivots = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
         for at in range(0, len(t), 1024):
             u, x = t[at : at + 1024], fp[at : at + 1024]
             under = np.stack([fine[k] for k in u]) if len(u) else np.empty((0, len(fine[0])), np.int64)
             place = u[:, None] * under.shape[1] + np.arange(under.shape[1])
-            cols = (place, under & x[:, None], np.broadcast_to(x[:, None], under.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(c.ravel().astype(k)) for c, k in zip(cols, (np.int32, np.int64, np.int64))], ["t", "key", "fp"])
+            wide = [np.broadcast_to(c[at : at + 1024, None], under.shape) for c in (fp, *pivots)]
+            cols = [place.astype(np.int32), under & x[:, None], *wide]
+            yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in cols], ["t", "key", "fp", *_P])
 
 
 def links(nodes: DataFrame, bits: int = 3, long: int = LONG) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp) that have the same components as all pairs within
     `bits` bits. Fingerprints meet under each mask of `masks`; only those that share a key are compared, by
-    pivot distances first. Short runs give all of their links, longer ones a spanning forest, so the rows don't
+    pivot distances first, which each fingerprint's rows carry. Short runs give all of their links, longer ones a spanning forest, so the rows don't
     grow with the square of a group. Keys that more than `long` fingerprints share are counted first (map-side) and
     never gathered: their members meet under finer keys, which bounds what a task holds."""
     keys = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for i, m in enumerate(masks(bits))))
-    met = nodes.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
+    table = nodes.select("fp", *pivot_columns(F.col("fp")))
+    met = table.select("fp", *_P, F.explode(keys).alias("k")).select("k.t", "k.key", "fp", *_P)
     hot = keep(met.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select("t", "key"), "hot")
     if hot.head(1):
-        crowd = on_batches(met.join(hot, ["t", "key"], "left_semi").select("t", "fp"), lambda x: _finer(x, bits), "t int, key bigint, fp bigint")
+        crowd = on_batches(met.join(hot, ["t", "key"], "left_semi").select("t", "fp", *_P), lambda x: _finer(x, bits), "t int, key bigint, fp bigint, " + ", ".join(f"{p} bigint" for p in _P))
         first = F.lit(len(masks(bits))).cast("int")  # finer keys are counted behind the others
         met = met.join(hot, ["t", "key"], "left_anti").unionByName(crowd.withColumn("t", F.col("t") + first))
     met = met.repartition("t", "key").sortWithinPartitions("t", "key")

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shardflow.llm import simhash
 from shardflow.llm.components import components
@@ -64,6 +65,13 @@ def test_long_text_in_chunks(monkeypatch):
     assert fingerprint(text) == brute_fingerprint(text)
 
 
+def test_pivot_columns_are_the_table(spark):
+    fp = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 200)
+    df = spark.createDataFrame([(int(x),) for x in fp], "fp bigint")
+    got = np.array([list(r)[1:] for r in df.select("fp", *simhash.pivot_columns(F.col("fp"))).collect()], np.int64)
+    assert (got.view(np.int8) == pivot_table(fp.view(np.uint64))).all()
+
+
 @pytest.mark.parametrize("bits", [0, 1, 3, 4])
 def test_masks_cover_every_difference(bits):
     rng = np.random.default_rng(bits)
