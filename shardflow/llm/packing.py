@@ -18,9 +18,17 @@ from shardflow.llm.tokens import ids
 Slot = tuple[int, int, int, int, int]
 
 
-def combination(free: np.ndarray, gap: int, single: np.ndarray, pair: np.ndarray) -> list[int]:
-    """Lengths of one, two or three free pieces that fill the gap exactly, long ones first; none: []. single and
-    pair index the sums that are there: whether a piece, or two, make a length."""
+def sums(single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes of pair and triple sums: whether two, or three, of the lengths that are there make a length."""
+    one = single.astype(np.float32)
+    two = (np.convolve(one, one)[: len(one)] > 0.5).astype(np.float32)
+    return two > 0.5, np.convolve(two, one)[: len(one)] > 0.5
+
+
+def combination(free: np.ndarray, gap: int, single: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> list[int]:
+    """Lengths of one, two or three free pieces that fill the gap exactly, long ones first; none: []. single, pair and
+    triple index the sums that are there: whether a piece, two or three make a length. A sum that is there may need
+    more pieces of a length than are free, so counts decide."""
     if single[gap]:
         return [gap]
     if pair[gap]:
@@ -28,6 +36,8 @@ def combination(free: np.ndarray, gap: int, single: np.ndarray, pair: np.ndarray
         fit = a[single[a] & single[gap - a] & ((2 * a != gap) | (free[a] > 1))]
         if len(fit):
             return [int(fit[0]), gap - int(fit[0])]
+    if not triple[gap]:
+        return []
     for a in np.flatnonzero(single[:gap] & pair[gap:0:-1])[::-1].tolist():
         rest = gap - a
         b = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
@@ -54,17 +64,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
     used, slots, sequence = np.zeros(capacity + 1, np.int64), [], 0
     single = free > 0
 
-    def pairs() -> np.ndarray:
-        return np.convolve(single.astype(np.float32), single.astype(np.float32))[: capacity + 1] > 0.5
-
-    pair = pairs()
+    pair, triple = sums(single)
     while single.any():
         top = int(np.flatnonzero(single)[-1])
         pieces, gap = [top], capacity - top
         free[top] -= 1
         single[top] = free[top] > 0
         while gap:
-            found = combination(free, gap, single, pair)
+            found = combination(free, gap, single, pair, triple)
             if not found:
                 fit = np.flatnonzero(single[: gap + 1])
                 if not len(fit):
@@ -88,7 +95,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[Slot]:
         sequence += times
         if (single != (now := free > 0)).any():
             single = now
-            pair = pairs()
+            pair, triple = sums(single)
     return slots
 
 

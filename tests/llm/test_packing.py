@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from shardflow.llm.packing import combination, pack, plan
+from shardflow.llm.packing import combination, pack, plan, sums
 from shardflow.llm.queries import VOCABULARY, queries
 from shardflow.llm.tokens import Ids
 from tests.conftest import SMALL
@@ -76,8 +76,11 @@ def test_plans_place_every_piece_once(counts):
 def test_exact_complements_are_found(free, gap):
     free = np.array([0, *free[1:]])
     single = free > 0
-    pair = np.convolve(single.astype(int), single.astype(int))[:20] > 0
-    found = combination(free, gap, single, pair)
+    pair, triple = sums(single)
+    found = combination(free, gap, single, pair, triple)
+    some = np.flatnonzero(single).tolist()
+    assert set(np.flatnonzero(pair).tolist()) == {a + b for a in some for b in some if a + b < 20}
+    assert set(np.flatnonzero(triple).tolist()) == {a + b + c for a in some for b in some for c in some if a + b + c < 20}
     ones = [a for a in range(1, 20) if free[a]]
     fits = lambda c: sum(c) == gap and all(free[x] >= n for x, n in Counter(c).items())
     there = any(fits(c) for c in [(a,) for a in ones] + [(a, b) for a in ones for b in ones] + [(a, b, c) for a in ones for b in ones for c in ones])
