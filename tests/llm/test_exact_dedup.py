@@ -79,6 +79,24 @@ def test_hot_group(spark):
     assert got.where("group_size = 2000").select("keep_id").distinct().collect()[0][0] == 1
 
 
+def test_one_row_repeated_very_often(spark):
+    rows = [(7, "same  text", "en", "w", 1)] * 2000 + [(i, "same text", "en", "w", 1) for i in range(50)] + [(None, "x", "en", "w", 1)] * 500
+    df = cases.docs(spark, rows, 8)
+    got = exact_duplicates(df)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got.where("kept").collect()} == {(7, 7, 2050), (None, None, 500)}
+    assert got.where("kept").count() == 2 and got.count() == len(rows)
+    assert sorted((r["doc_id"], r["text"]) for r in drop_exact_duplicates(df).where("doc_id is not null").collect()) == [(7, "same  text")]
+    assert drop_exact_duplicates(df).count() == 2
+
+
+def test_ids_of_other_types(spark):
+    """Strings are ids, too: the order is theirs."""
+    df = spark.createDataFrame([("b", "x y"), ("a", "xy"), ("c", "x y"), (None, "x y"), ("b", "q"), ("b", "q"), (None, None), (None, "")], "doc_id string, text string")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(df).collect()}
+    assert got == {("b", "b", 4, True), ("a", "b", 4, False), ("c", "b", 4, False), (None, "b", 4, False), ("b", "b", 2, True), ("b", "b", 2, False), (None, None, 2, True), (None, None, 2, False)}
+    assert cases.rows(drop_exact_duplicates(df).select("doc_id")) == [("b",), ("b",), (None,)]
+
+
 def test_no_python_in_the_plan(spark):
     plan = exact_duplicates(cases.docs(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas"))
