@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import keep, table
+from shardflow.llm.common import scratch, table
 from shardflow.llm.exact_dedup import exact_duplicates
 from shardflow.llm.html_layout import extract
 from shardflow.llm.licences import licences
@@ -17,7 +18,7 @@ from shardflow.llm.packing import pack
 from shardflow.llm.quality import quality
 from shardflow.llm.secret_scan import secrets
 from shardflow.llm.simhash import near_duplicates
-from shardflow.llm.token_scan import document_tokens, write_blocks
+from shardflow.llm.token_scan import document_tokens
 from shardflow.llm.toxicity import toxicity
 
 #: A parameter of every query that tokenises; the file is never copied.
@@ -61,9 +62,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are written to flat token files first; the scan sees these alone, and its counts then get the ids."""
-    blocks = keep(write_blocks(table(spark, sf_dir, "documents"), VOCABULARY, END), "blocks")
-    return document_tokens(blocks, END)
+    """Documents are written to flat token files in the shared folder; the scan reads these alone."""
+    return document_tokens(table(spark, sf_dir, "documents"), f"{scratch(spark)}/tokens-{uuid.uuid4().hex[:12]}", VOCABULARY, END)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,103 +6,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import on_batches, pick
+from shardflow.llm.common import keep, on_batches, pick
 from shardflow.llm.tokens import ids
 
+#: Ids of a block: what is read and searched at once.
+BLOCK = 1 << 18
+#: Bytes of the blocks that a task reads, one after another.
+TASK = 64 << 20
 #: Blocks whose summaries are scanned by one task before the sums of such groups are scanned.
 GROUP = 1024
 #: Words that a worker remembers while it writes.
 REMEMBER = 400_000
+#: Documents whose ids are noted in one row beside a file.
+NOTED = 1024
 
 
-def write_blocks(docs: DataFrame, vocabulary: str, end: int, block: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Flat token files, one for each input partition, as rows (file, block, ids, doc_ids): ids are `block`
-    unsigned little-endian 16-bit numbers at most (the vocabulary is smaller), cut anywhere; doc_ids (apart from the file, which has no index) are
-    the documents that end in the block, in order. Special tokens' strings are ordinary text, so `end` ends documents only."""
+def write_files(docs: DataFrame, path: str, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes a flat file of unsigned little-endian 16-bit ids (the vocabulary is smaller) for each input partition below
+    `path`, a folder that all executors reach: a document's ids, then `end`, and so on, without any index. Special
+    tokens' strings are ordinary text, so `end` ends documents only.
+
+    Gives rows (file, path, bytes, first, doc_ids), some for each file: documents in the order in which they end, `first`
+    being the place of the row's first one, and the bytes that they take. A file's name tells the attempt that wrote it, so
+    that a task that is run again doesn't disturb what another one wrote; the rows name the files that count."""
     base = pick(docs, doc_id=id_col, text=text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
     tail = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, number = ids(vocabulary, True, REMEMBER), TaskContext.get().partitionId(), 0
-        held, size, id_kind = [], 0, None
-
-        def rows(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, number
-            data, at = b"".join(d for d, _ in held), 0
-            ends = np.cumsum([len(d) for d, _ in held]) if held else np.empty(0, np.int64)
-            names, done = [w for _, w in held], 0
-            while len(data) - at >= 2 * block or last and at < len(data):
-                stop = min(at + 2 * block, len(data))
-                upto = int(np.searchsorted(ends, stop, "right"))
-                cols = [pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([data[at:stop]], pa.binary()), pa.array([names[done:upto]], pa.list_(id_kind))]
-                yield pa.RecordBatch.from_arrays(cols, ["file", "block", "ids", "doc_ids"])
-                number, at, done = number + 1, stop, upto
-            rest = held[done:]
-            if rest and at < len(data):
-                rest[0] = (data[at : int(ends[done])], rest[0][1])
-            held, size = rest, len(data) - at
+        encoder, context = ids(vocabulary, True, REMEMBER), TaskContext.get()
+        file, out, first, name = context.partitionId(), None, 0, f"{path}/part-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, NOTED):
+                    part, size = b.slice(at, NOTED), 0
+                    for k in range(0, part.num_rows, 128):
+                        for data in encoder.encode(part.column(1).slice(k, 128).to_pylist()):
+                            data = np.frombuffer(data, "<u4").astype("<u2").tobytes() + tail
+                            if out is None:
+                                where, plain = fs.FileSystem.from_uri(name)
+                                where.create_dir(plain.rsplit("/", 1)[0])
+                                out = where.open_output_stream(plain, buffer_size=1 << 20)
+                            out.write(data)
+                            size += len(data)
+                    who = pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type))
+                    cols = [pa.array([file], pa.int32()), pa.array([name]), pa.array([size], pa.int64()), pa.array([first], pa.int64()), who]
+                    first += part.num_rows
+                    yield pa.RecordBatch.from_arrays(cols, ["file", "path", "bytes", "first", "doc_ids"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return on_batches(base, run, f"file int, path string, bytes bigint, first bigint, doc_ids array<{kind}>", "ids")
+
+
+def _summary(blocks: list[np.ndarray], end: int, head: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """For each block: its length, how many separators it has, where the first and the last one are, and the gaps between."""
+    n, count, first, last, gaps = [], [], [], [], []
+    for a in blocks:
+        at = np.flatnonzero(a == end)
+        n.append(len(a))
+        count.append(len(at))
+        first.append(int(at[0]) if len(at) else None)
+        last.append(int(at[-1]) if len(at) else None)
+        gaps.append((np.diff(at) - 1).astype(np.int64))
+    cols = [*head, *(pa.array(c, pa.int64()) for c in (n, count, first, last)), pa.array(gaps, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, [*names, "n", "ends", "first", "last", "gaps"])
+
+
+_SUMMARY = "n bigint, ends bigint, first bigint, last bigint, gaps array<bigint>"
+
+
+def scan_files(files: DataFrame, end: int, kind_of_id: str = "<u2", block: int = BLOCK) -> DataFrame:
+    """file, document (its place in the file, from 0), n_tokens from files (file, path, bytes): flat files of numbers of
+    one kind (unsigned little-endian, 16 bits, unless said otherwise).
+
+    Files are cut into ranges of `block` numbers anywhere; a task opens a file and reads its ranges. Each is searched
+    for `end` at once, and `stitch` joins what they found. Bytes behind the last whole number are left out; an empty file
+    has no documents; a path that isn't there is an error.
+    """
+    wide = np.dtype(kind_of_id).itemsize
+    spans = F.ceil(F.col("bytes") / F.lit(wide * block)).cast("bigint")
+    ranges = files.where(F.col("bytes") > 0).select("file", "path", F.explode(F.sequence(F.lit(0).cast("bigint"), spans - 1)).alias("block"))
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(1, min(-(-total // (wide * block)), max(-(-total // TASK), files.sparkSession.sparkContext.defaultParallelism)))
+    ranges = ranges.repartition(tasks, "path", "block").sortWithinPartitions("path", "block")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = stream = None
         for b in batches:
-            id_kind = b.column(0).type
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    data = np.frombuffer(data, "<u4").astype("<u2").tobytes() + tail
-                    held.append((data, doc))
-                    size += len(data)
-                    if size >= 32 * block:
-                        yield from rows(False)
-        if held:
-            yield from rows(True)
+            for k in range(0, b.num_rows, 16):
+                part, found = b.slice(k, 16), []
+                for path, number in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    if path != name:
+                        where, plain = fs.FileSystem.from_uri(path)
+                        name, stream = path, where.open_input_file(plain)
+                    data = stream.read_at(wide * block, wide * block * number)
+                    found.append(np.frombuffer(data, kind_of_id, len(data) // wide))
+                yield _summary(found, end, [part.column(0), part.column(2)], ["file", "block"])
 
-    return on_batches(base, run, f"file int, block bigint, ids binary, doc_ids array<{kind}>", "ids")
+    kind = ranges.schema["file"].dataType.simpleString()
+    return stitch(on_batches(ranges, run, f"file {kind}, block bigint, {_SUMMARY}"))
 
 
 def scan(blocks: DataFrame, end: int, kind_of_id: str = "<u2") -> DataFrame:
-    """file, document (its place in the file, from 0), n_tokens from blocks (file, block, ids) of numbers
-    of one kind (unsigned little-endian, 16 bits, unless said otherwise), of any lengths.
-
-    Each block is searched for `end` at once; it reports the gaps between its separators, and a summary: its length,
-    how many separators it has, and where its last one is. A prefix scan of the summaries (in groups of GROUP blocks, then
-    over the groups) tells each block how many documents and tokens came before and where the last separator was,
-    which stitches the document across its border. Tokens after the last separator of a file are a document of their
-    own. Null blocks count as empty; blocks that repeat must not occur.
-    """
+    """As `scan_files`, of blocks (file, block, ids) of any lengths that are rows already. Null blocks count as empty;
+    blocks that repeat must not occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, count, first, last, gaps = [], [], [], [], []
-            for x in b.column(2):
-                a = np.frombuffer(x.as_py() or b"", kind_of_id)
-                at = np.flatnonzero(a == end)
-                n.append(len(a))
-                count.append(len(at))
-                first.append(int(at[0]) if len(at) else None)
-                last.append(int(at[-1]) if len(at) else None)
-                gaps.append((np.diff(at) - 1).astype(np.int64))
-            cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, count, first, last)), pa.array(gaps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["file", "block", "n", "ends", "first", "last", "gaps"])
+            found = [np.frombuffer(x.as_py() or b"", kind_of_id) for x in b.column(2)]
+            yield _summary(found, end, [b.column(0), b.column(1)], ["file", "block"])
 
     kind = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    found = on_batches(blocks.select("file", "block", "ids"), run, f"file {kind['file']}, block {kind['block']}, n bigint, ends bigint, first bigint, last bigint, gaps array<bigint>")
+    return stitch(on_batches(blocks.select("file", "block", "ids"), run, f"file {kind['file']}, block {kind['block']}, {_SUMMARY}"))
+
+
+def stitch(found: DataFrame) -> DataFrame:
+    """file, document, n_tokens from the summaries of blocks.
+
+    A prefix scan of the summaries (in groups of GROUP blocks, then over the groups) tells each block how many documents
+    and tokens came before and where the last separator was, which stitches the document across its border. Tokens
+    after the last separator of a file are a document of their own.
+    """
     found = found.withColumn("group", F.floor(F.col("block") / GROUP))
     before = W.partitionBy("file", "group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     inner = found.withColumn("n0", zero(F.sum("n").over(before))).withColumn("e0", zero(F.sum("ends").over(before)))
     inner = inner.withColumn("l0", F.max(F.col("n0") + F.col("last")).over(before))
-    groups = inner.groupBy("file", "group").agg(F.sum("n").alias("gn"), F.sum("ends").alias("ge"), F.max(F.col("n0") + F.col("last")).alias("gl"), F.max("block").alias("b1"))
+    groups = inner.groupBy("file", "group").agg(F.sum("n").alias("gn"), F.sum("ends").alias("ge"), F.max(F.col("n0") + F.col("last")).alias("gl"))
     over = W.partitionBy("file").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.withColumn("gn0", zero(F.sum("gn").over(over))).withColumn("ge0", zero(F.sum("ge").over(over))).withColumn("gl0", F.max(F.col("gn0") + F.col("gl")).over(over))
     all_ = inner.join(groups.select("file", "group", "gn0", "ge0", "gl0"), ["file", "group"])
     begin = F.col("gn0") + F.col("n0")
     prior = F.coalesce(F.col("gn0") + F.col("l0"), F.col("gl0"), F.lit(-1))
-    head = F.when(F.col("ends") > 0, F.array(begin + F.col("first") - prior - 1)).otherwise(F.array().cast("array<bigint>"))
+    head = F.when(F.col("ends") > 0, F.array(begin + F.col("first") - prior - 1)).otherwise(_none())
     inside = all_.select("file", (F.col("ge0") + F.col("e0")).alias("base"), F.posexplode(F.concat(head, "gaps")).alias("k", "n_tokens"))
     inside = inside.select("file", (F.col("base") + F.col("k")).alias("document"), "n_tokens")
     tail = groups.groupBy("file").agg(F.sum("ge").alias("document"), F.max(F.col("gn0") + F.col("gn")).alias("length"), F.max(F.col("gn0") + F.col("gl")).alias("stop"))
@@ -110,15 +154,18 @@ def scan(blocks: DataFrame, end: int, kind_of_id: str = "<u2") -> DataFrame:
     return inside.unionByName(tail)
 
 
-def document_tokens(blocks: DataFrame, end: int) -> DataFrame:
-    """doc_id, file, document, n_tokens: the counts of `scan` beside the ids that `write_blocks` noted."""
-    each = blocks.select("file", "block", F.size("doc_ids").cast("bigint").alias("n"), F.col("doc_ids").alias("who"))
-    each = each.withColumn("group", F.floor(F.col("block") / GROUP))
-    before = W.partitionBy("file", "group").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    each = each.withColumn("n0", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    groups = each.groupBy("file", "group").agg(F.sum("n").alias("gn"))
-    groups = groups.withColumn("g0", F.coalesce(F.sum("gn").over(W.partitionBy("file").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    each = each.join(groups.select("file", "group", "g0"), ["file", "group"])
-    named = each.select("file", (F.col("g0") + F.col("n0")).alias("base"), F.posexplode("who").alias("k", "doc_id"))
-    named = named.select("file", (F.col("base") + F.col("k")).alias("document"), "doc_id")
-    return scan(blocks, end).join(named, ["file", "document"]).select("doc_id", "file", "document", "n_tokens")
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def document_tokens(docs: DataFrame, path: str, vocabulary: str, end: int, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, file, document, n_tokens for every row of docs, which are written to flat files below `path` first: the scan
+    sees these files alone, and its counts then get the ids that were noted beside.
+
+    Null and empty texts have no tokens. Rows that repeat are documents each; ids aren't interpreted. An empty table
+    gives no rows; other columns are ignored."""
+    noted = keep(write_files(docs, path, vocabulary, end, id_col, text_col), "noted")
+    files = noted.groupBy("file", "path").agg(F.sum("bytes").alias("bytes"))
+    named = noted.select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id"))
+    named = named.select("file", (F.col("first") + F.col("k")).alias("document"), "doc_id")
+    return scan_files(files, end, block=block).join(named, ["file", "document"]).select("doc_id", "file", "document", "n_tokens")
