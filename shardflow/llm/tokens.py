@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -13,6 +14,18 @@ from shardflow.llm.common import memory
 WORDS, LONGEST = 650_000, 48
 
 
+#: ASCII characters that are neither letters, digits nor white space: a run of them is one piece.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: How the vocabulary writes bytes: printable ones of Latin-1 as such, the others as characters from 256 on, in order.
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is made of small letters that normalisation leaves alone: below U+0250 no letter composes with the
+    next one."""
+    return word.isalpha() and word == word.lower() and (word.isascii() or max(word) < "\u0250")
+
+
 class Ids:
     """ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and splits at it first, so a
     text's ids are those of its words one after another; words recur, so most are looked up."""
@@ -23,7 +36,7 @@ class Ids:
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[bytes, bytes] = {}
         self.remember, self.missed = remember, 0
-        self.marks = {m: self.words([m])[m] for m in (b".", b",", b";", b":", b"!", b"?")}
+        self.model, self.marks = self.tokenizer.model, {}
 
     def words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """ids of each of some words. They are encoded as one text; a token's place tells its word."""
@@ -36,16 +49,38 @@ class Ids:
         b = data.tobytes()
         return {w: b[4 * i : 4 * j] for w, i, j in zip(words, [0, *cut], [*cut, len(data)])}
 
+    def letters(self, word: str) -> bytes:
+        """ids of a plain word, by the model alone: what stands before the model leaves it whole."""
+        t = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [x.id for x in self.model.tokenize(t)]).tobytes()
+
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            b = marks.encode()
+            self.marks[marks] = self.words([b])[b]
+        return self.marks[marks]
+
     def missing(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """ids of words that aren't known. Letters and a mark behind them are tokens of their own, so such a word's ids are
-        those of its letters and the mark's."""
-        marked = [w for w in new if w[-1:] in self.marks and w[:-1].isalpha()]
-        bare = {w[:-1] for w in marked}
-        want = list((new.difference(marked) | bare).difference(self.known))
-        got = self.words(want) if want else {}
-        for w in marked:
-            stem = w[:-1]
-            got[w] = (got[stem] if stem in got else self.known[stem]) + self.marks[w[-1:]]
+        """ids of words that aren't known. Letters and the marks behind them are pieces of their own, so such a word's ids are
+        those of its letters and the marks'."""
+        got: dict[bytes, bytes] = {}
+        rest = []
+        for w in new:
+            t = w.decode("utf-8", "replace")
+            stem = t.rstrip(_MARKS)
+            if not _plain(stem):
+                rest.append(w)
+                continue
+            key = w if len(stem) == len(t) else stem.encode()
+            data = self.known.get(key) or got.get(key)
+            if data is None:
+                data = got[key] = self.letters(stem)
+            if len(stem) < len(t):
+                got[w] = data + self.mark(t[len(stem) :])
+        if rest:
+            got |= self.words(rest)
         return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

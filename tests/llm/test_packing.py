@@ -135,3 +135,12 @@ def test_empty_and_clashes(spark):
     assert cases.rows(pack(cases.docs(spark, []), VOCABULARY)) == []
     df = cases.docs(spark, parts=1)
     cases.same_with_clashes(df, lambda d: pack(d, VOCABULARY).select("doc_id", "piece", "start", "length", "ids_crc32"))
+
+
+def test_plain_words_by_the_model_alone():
+    """Every letter below U+0250 in words of its own, with marks behind, against the tokenizer's way through all its steps."""
+    t, own = Tokenizer.from_file(VOCABULARY), Ids(VOCABULARY)
+    letters = [chr(c) for c in range(33, 0x260) if chr(c).isalpha()]
+    words = [f"{a}{c}{b}{m}" for c in letters for a, b, m in (("", "", ""), ("th", "er", ""), ("", "e", "..."), ("s", "", "%%%'"), ("x", "x", "<|"), ("q", "", "'s"))]
+    for w in words:
+        assert np.frombuffer(own.encode([w])[0], "<u4").tolist() == t.encode(w, add_special_tokens=False).ids, w
