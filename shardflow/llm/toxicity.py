@@ -30,7 +30,7 @@ POWER = 2
 #: Neighbouring words of this many letters at most are also read as one.
 SHORT = 4
 #: Words, and joins of two, that a worker remembers, and the longest of them.
-WORDS, LONGEST = 600_000, 48
+WORDS, LONGEST = 350_000, 48
 #: Texts that are read together.
 PART = 128
 #: Labelled documents that training reads, of each label, taken by hash, and the bytes of their texts together.
@@ -210,7 +210,7 @@ class Table:
 
     def learn(self, words: list[str]) -> list[str]:
         """Numbers new words; the segments that were new."""
-        units = [unit(w) for w in words]
+        units = [w if (u := unit(w)) == w else u for w in words]  # one string where the two are equal
         new = list(dict.fromkeys(u for u in units if u not in self.of_unit))
         self.of_unit.update(zip(new, self.adds(new)))
         at, size = len(self.units), len(self.units) + len(words)
