@@ -38,14 +38,18 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-FULL: dict[str, str] = {"MIT": _MIT, "BSD-3-Clause": _BSD + _NAMES + _AS_IS, "BSD-2-Clause": _BSD + _AS_IS, "ISC": _ISC}
+_0BSD = _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_FREE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+FULL: dict[str, str] = {"MIT": _MIT, "BSD-3-Clause": _BSD + _NAMES + _AS_IS, "BSD-2-Clause": _BSD + _AS_IS, "ISC": _ISC, "0BSD": _0BSD, "Zlib": _ZLIB, "Unlicense": _FREE}
 #: A text is compared around each word that has one of these; every template has such a word.
 CUES = ("licen", "copyright", "reserved", "spdx", "domain", "hereby", "redistribution", "proprietary")
 #: Words at which a whole text of FULL begins.
 BEGINS = ("permission", "redistribution")
 #: Least cosine of a header.
 LEAST = 0.7
-#: A file is a licence file by its name, or if headers are this part of its words.
+#: A file is a licence file if it has a licence and is named so, if headers are this part of its words, or if as a whole it
+#: is near (LEAST) to the whole text of a licence.
 SHARE = 0.5
 NAMES = ("license", "licence", "copying", "unlicense")
 _EDGE = ".,;:!?\"'()[]{}<>|*#%&$~_=+/\\`©-"
@@ -136,6 +140,7 @@ class Templates:
                 self.dense[t][i] = x * self.idf.get(t, self.rare)
         self.none = np.zeros(len(self.names))
         self.full = [(name, len(terms(x)), self.vector(terms(x))) for name, x in FULL.items()]
+        self.in_full = set().union(*(v for _, _, v in self.full))
         self.seen: dict[tuple, tuple | None] = {}
 
     def vector(self, words: list[str]) -> dict[str, float]:
@@ -208,15 +213,28 @@ class Templates:
                 found = (p, min(len(words), p + n), min(1.0, x), name, False)
         return found
 
+    def whole(self, words: list[str]) -> tuple[float, str | None]:
+        """As `best`: the nearest whole text of a licence to all words of a file. Most files fall by a bound: words that
+        no licence has add at least 1 each to the square of the norm."""
+        count = Counter(words)
+        shared = count.keys() & self.in_full
+        held = sum(((1 + math.log(count[t])) * self.idf.get(t, self.rare)) ** 2 for t in shared)
+        if held < LEAST**2 * (held + len(count) - len(shared)) - 1e-9 or not shared:
+            return 0.0, None
+        v = self.vector(words)
+        x, name = max(((sum(v[t] * y[t] for t in shared & y.keys()), name) for name, _, y in self.full), key=lambda r: round(r[0], 9))
+        return (min(1.0, x), name) if x >= LEAST else (0.0, None)
+
     def scan(self, text: str) -> tuple[str | None, float, int, float]:
         """Licence, cosine, number of headers, and their part of the words. Headers are whole texts of short licences, and
         the windows around cues, wherever lines and sentences end, that are nearest to a template; those that overlap
-        a better one don't count again. "All rights reserved" stands in front of licences too and names one only where no
+        a better one don't count again; the text as a whole is held against whole licences, too. "All rights reserved" stands in front of licences too and names one only where no
         other header does."""
         low = text.lower()
-        if not any(c in low for c in (*CUES, *BEGINS)):
-            return None, 0.0, 0, 0.0
         words = terms(low)
+        near, of = self.whole(words)
+        if not any(c in low for c in (*CUES, *BEGINS)):
+            return of, near, int(near > 0), 1.0 if of else 0.0
         blocks = [f for p, t in enumerate(words) if t in BEGINS and (f := self.block(words, p))]
         windows = [f for p in cued(words) if (f := self.window(words, p))]
         taken, found = np.zeros(len(words), bool), []
@@ -225,10 +243,13 @@ class Templates:
                 if not taken[f[0] : f[1]].any():
                     taken[f[0] : f[1]] = True
                     found.append(f)
+        n = len(found)
+        if of:
+            found.append((0, len(words), near, of, False))
         if not found:
             return None, 0.0, 0, 0.0
         _, _, score, name, _ = max(found, key=lambda f: (not f[4], f[2], f[3]))
-        return name, score, len(found), float(taken.sum()) / max(1, len(low.split()))
+        return name, score, max(1, n), 1.0 if of else float(taken.sum()) / max(1, len(low.split()))
 
 
 def _directory(path: Column) -> Column:

@@ -138,6 +138,35 @@ def test_notices_inside_longer_lines_and_blocks(spark):
     assert got[5]["is_licence_file"] and got[8]["is_licence_file"] and not got[3]["is_licence_file"]
 
 
+def test_whole_files_by_brute_force():
+    """Every text against every whole licence, whatever words it has; the bound skips none that is near."""
+    df = {t: (i * i) % 40 for i, t in enumerate(VOCABULARY)}
+    templates = Templates(50, df, 1)
+    texts = [terms(x) for x in FULL.values()]
+    texts += [t[: len(t) * k // 10] for t in texts[:] for k in (3, 5, 7, 9)] + [t + terms(cases.prose(n, n)) for t in texts[:7] for n in (5, 40, 200)]
+    texts += [sorted(texts[0]), texts[0] * 3, [], ["software"], terms(cases.prose(300, 5))]
+    hits = 0
+    for words in texts:
+        v = templates.vector(words)
+        want = {name: sum(x * y.get(t, 0.0) for t, x in v.items()) for name, _, y in templates.full}
+        score, name = templates.whole(words)
+        if max(want.values()) < 0.7:
+            assert (score, name) == (0.0, None)
+        else:
+            hits += 1
+            assert score == pytest.approx(max(want.values())) and want[name] == pytest.approx(max(want.values()))
+    assert hits > 20
+
+
+def test_whole_files_without_names(spark):
+    """A file that holds the whole text of a licence is a licence file whatever its name and its lines."""
+    other = {f"{k}/notes": " ".join(FULL[k].split()) for k in FULL}
+    got = run(spark, [(i, f"Copyright 2020 Someone\n\n{t}", p) for i, (p, t) in enumerate(other.items())] + [(100 + i, "plain text", f"{k}/sub/file") for i, k in enumerate(FULL)])
+    for i, k in enumerate(FULL):
+        assert got[i]["licence"] == k and got[i]["is_licence_file"], k
+        assert got[100 + i]["inherited_licence"] == k and got[100 + i]["inherited_from"] == k
+
+
 def test_frequencies_of_all_words(spark):
     docs = cases.of(spark, {1: "file license", 2: "File, other", 3: "file far", 4: None, 5: "license other"})
     n, df = frequencies(docs, "text")
