@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardflow import functions as fn
@@ -13,7 +17,8 @@ from shardflow.dataset import Dataset
 from shardflow.operators import aggregation as agg
 from shardflow.operators import exchange, joins, ordering
 from shardflow.session import shared_dir
-from shardflow.streaming import receive, run_to_end
+from shardflow.plans import dot, observed
+from shardflow.streaming import fan_in, receive, run_to_end, sorted_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, tuple[Query, str | None]] = {}
@@ -208,13 +213,24 @@ def group_map_with(spark, d):
     w as (select unnest(string_split_regex(line, '[^\S\n]+')) as word, doc_id, n from l)
     select word as key, string_agg(doc_id || ':' || n, ',' order by doc_id, n) as places from w where word <> '' group by 1""")
 def inverted_index(spark, d):
-    docs = _t(spark, d, "documents")
-    each = docs.select("doc_id", F.explode(sources.numbered_words(F.col("text"))).alias("w"))
-    pairs = each.select(F.col("w.word").alias("key"), F.struct("doc_id", F.col("w.line_number").alias("n")).alias("value"))
-    g = agg.group_by_key(pairs)
+    """A row for each word, with all its places."""
+    each = sources.numbered_word_rows(_t(spark, d, "documents"), "text", "doc_id")
+    g = agg.group_by_key(each.select(F.col("word").alias("key"), F.struct("doc_id", F.col("line_number").alias("n")).alias("value")))
     return g.select("key", F.array_join(F.transform("values", lambda v: F.concat_ws(":", v["doc_id"].cast("string"), v["n"].cast("string"))), ",").alias("places"))
 
 
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
+    w as (select unnest(string_split_regex(line, '[^\S\n]+')) as word, doc_id, n from l)
+    select word as key, doc_id // 256 as segment, string_agg(doc_id || ':' || n, ',' order by doc_id, n) as places from w where word <> '' group by 1, 2""")
+def inverted_index_segments(spark, d):
+    """The same in segments of 256 documents: a row stays bounded however common its word is, and a common word's
+    segments are grouped by many tasks."""
+    each = sources.numbered_word_rows(_t(spark, d, "documents"), "text", "doc_id")
+    segment = F.expr("doc_id div 256").alias("segment")
+    g = each.groupBy(F.col("word").alias("key"), segment).agg(F.sort_array(F.collect_list(F.struct("doc_id", "line_number"))).alias("v"))
+    return g.select("key", "segment", F.array_join(F.transform("v", lambda v: F.concat_ws(":", v["doc_id"].cast("string"), v["line_number"].cast("string"))), ",").alias("places"))
+
+
 # placement
 
 
@@ -246,21 +262,25 @@ def generated_source(spark, d):
 
 # joins
 
-_CUST = "(select c_custkey as key, c_name as value from customer where c_custkey % 3 <> 0)"
-_ORD = "(select o_custkey as key, o_orderkey as value from orders where o_custkey % 4 <> 1)"
+# Whole tables for the inner join; the outer ones see customers with money and large orders, so that each side has rows without a match.
+_CUST = "(select c_custkey as key, c_name as value from customer where c_acctbal > 0)"
+_ORD = "(select o_custkey as key, o_orderkey as value from orders where o_totalprice > 300000)"
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return _pairs(_t(spark, d, "customer").where("c_custkey % 3 <> 0"), "c_custkey", "c_name"), _pairs(_t(spark, d, "orders").where("o_custkey % 4 <> 1"), "o_custkey", "o_orderkey")
+    return _pairs(_t(spark, d, "customer").where("c_acctbal > 0"), "c_custkey", "c_name"), _pairs(_t(spark, d, "orders").where("o_totalprice > 300000"), "o_custkey", "o_orderkey")
 
 
 def _join_sql(kind: str) -> str:
     return f"select coalesce(a.key, b.key) as key, a.value as value1, b.value as value2 from {_CUST} a {kind} join {_ORD} b on a.key = b.key"
 
 
-@query(_join_sql("inner"))
+_INNER = "select c_custkey as key, c_name as value1, o_orderkey as value2 from customer join orders on c_custkey = o_custkey"
+
+
+@query(_INNER)
 def join_inner(spark, d):
-    return joins.join(*_sides(spark, d))
+    return joins.join(_pairs(_t(spark, d, "customer"), "c_custkey", "c_name"), _pairs(_t(spark, d, "orders"), "o_custkey", "o_orderkey"))
 
 
 @query(_join_sql("left"))
@@ -295,11 +315,11 @@ def self_join(spark, d):
     return n.join(n).df
 
 
-@query("select a.key as key, a.value as value1, b.value as value2 from (select c_mktsegment as key, c_custkey as value from customer where c_custkey < 50) a join (select upper(c_mktsegment) as key, count(*) as value from customer group by 1) b on lower(a.key) = lower(b.key)")
+@query("select a.key as key, a.value as value1, b.value as value2 from (select c_mktsegment as key, c_custkey as value from customer) a join (select upper(c_mktsegment) as key, count(*) as value from customer group by 1) b on lower(a.key) = lower(b.key)")
 def join_ci_key(spark, d):
     c = _t(spark, d, "customer")
     right = _pairs(c.groupBy(F.upper("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("n")), "k", "n")
-    return joins.join_on(_pairs(c.where("c_custkey < 50"), "c_mktsegment", "c_custkey"), right, F.lower)
+    return joins.join_on(_pairs(c, "c_mktsegment", "c_custkey"), right, F.lower)
 
 
 @query("""with a as (select word as key, count(*) as value from (select unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) as word from part) where word <> '' group by 1),
@@ -429,7 +449,7 @@ def user_posts(spark, d):
     return both.select(F.col("c_custkey").alias("key"), F.coalesce("spent", F.lit(0)).cast("double").alias("total"))
 
 
-@query(_join_sql("inner").replace("as key", "as x").replace("as value1", "as y").replace("as value2", "as z").replace("c_custkey as x, c_name as value", "c_custkey as key, c_name as value").replace("o_custkey as x", "o_custkey as key"))
+@query(_INNER.replace("as key", "as x").replace("as value1", "as y").replace("as value2", "as z"))
 def output_struct(spark, d):
     return sinks.renamed(join_inner(spark, d), "x", "y", "z")
 
@@ -469,3 +489,177 @@ def channel_stream_count(spark, d):
 def channel_stream_map(spark, d):
     stream = receive(spark, f"{d}/events.parquet*", _t(spark, d, "events").schema)
     return run_to_end(stream.where("value > 50").select(F.col("user_id").alias("key"), (F.col("event_id") * 2).alias("value")), "mapped")
+
+
+@query("select event_id as value from events where event_type = 'click' union all select user_id as value from events where event_type <> 'click'")
+def channel_fan_in(spark, d):
+    """Two live channels as one."""
+    kind = _t(spark, d, "events").schema
+    a, b = (receive(spark, f"{d}/events.parquet*", kind) for _ in range(2))
+    one = a.where("event_type = 'click'").select(F.col("event_id").alias("value"))
+    return run_to_end(fan_in(one, b.where("event_type <> 'click'").select(F.col("user_id").alias("value"))), "joined")
+
+
+@query("select 2 * n_nationkey as value from nation union all select 2 * r_regionkey from region")
+def fan_in_doubled(spark, d):
+    """Bounded channels, each changed on its way."""
+    parts = (_t(spark, d, t).select(F.col(c).alias("value")) for t, c in (("nation", "n_nationkey"), ("region", "r_regionkey")))
+    return fan_in(*parts, change=lambda x: x.select((F.col("value") * 2).alias("value")))
+
+
+@query("select event_id as key, row_number() over (order by value desc, event_id) as place from events")
+def channel_stream_sort(spark, d):
+    """A live channel, sorted when it ends: rows come back in the order of the files that the sink wrote, with their place."""
+    path = shared_dir(spark)
+    stream = receive(spark, f"{d}/events.parquet*", _t(spark, d, "events").schema)
+
+    def sink(batch: DataFrame) -> None:
+        batch.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()).write.mode("append").parquet(path)
+
+    sorted_batches(stream, sink, F.desc("value"), "event_id")
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.col("id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(sizes, "part").select(F.col("event_id").alias("key"), (F.col("before") + inside).alias("place"))
+
+
+# opaque functions beside nulls, and whole numbers that no double holds
+
+_WIDE = "case when o_orderkey % 7 = 0 then null else o_orderkey + 9007199254740993 end"
+
+
+@query(f"select o_orderkey as key, v + 1 as value from (select o_orderkey, {_WIDE} as v from orders)")
+def map_with_nulls(spark, d):
+    wide = Dataset(_t(spark, d, "orders").select("o_orderkey", F.expr(_WIDE).alias("v")))
+    return wide.map_with(lambda k, v: (k, None if v is None else v + 1), "key bigint, value bigint").df
+
+
+@query(f"select o_orderkey as key, v as value from (select o_orderkey, {_WIDE} as v from orders) where v is null or v % 2 = 0")
+def filter_with_nulls(spark, d):
+    wide = Dataset(_t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.expr(_WIDE).alias("value")))
+    return wide.filter_with(lambda k, v: v is None or v % 2 == 0).df
+
+
+@query(f"select bit_xor(v) as value from (select {_WIDE} as v from orders) having count(*) > 0")
+def reduce_with_nulls(spark, d):
+    wide = Dataset(_t(spark, d, "orders").select(F.expr(_WIDE).alias("value")))
+    return wide.reduce_with(lambda a, b: b if a is None else a if b is None else a ^ b).df
+
+
+# sinks, side effects, sources
+
+
+@query("select 'customers' as tap, count(*) as n, cast(sum(c_custkey) as bigint) as total from customer union all select 'rich', count(*), cast(sum(c_custkey) as bigint) from customer where c_acctbal > 5000")
+def output_taps(spark, d):
+    """Two taps in the middle of a plan see every row; what they add up is the result."""
+    seen: list[tuple[str, int, int]] = []
+
+    def tap(name: str, want) -> sinks.Tap:
+        def run(rows) -> None:
+            n = total = 0
+            for r in rows:
+                if want(r):
+                    n, total = n + 1, total + r["c_custkey"]
+            seen.append((name, n, total))
+
+        return run
+
+    Dataset(_t(spark, d, "customer").select("c_custkey", "c_acctbal")).add_outputs(tap("customers", lambda r: True), tap("rich", lambda r: r["c_acctbal"] > 5000))
+    return spark.createDataFrame(seen, "tap string, n bigint, total bigint")
+
+
+@query("select p_name as value from part")
+def save_text_file(spark, d):
+    """One text file, read back by lines."""
+    with tempfile.TemporaryDirectory() as local:
+        Dataset(_t(spark, d, "part")).map("p_name").save_text_to_file(f"{local}/out.txt")
+        with open(f"{local}/out.txt", encoding="utf-8") as f:
+            return sources.slice_of(spark, [x.removesuffix("\n") for x in f], "value string")
+
+
+@query("select cast(sum(strlen(p_name)) as bigint) as bytes, string_agg(p_name, '' order by p_partkey)[1:1000] as head from part")
+def save_bytes_file(spark, d):
+    """One file of bytes, row after row."""
+    with tempfile.TemporaryDirectory() as local:
+        Dataset(_t(spark, d, "part").orderBy("p_partkey")).map("cast(p_name as binary)").save_bytes_to_file(f"{local}/out.bin")
+        with open(f"{local}/out.bin", "rb") as f:
+            data = f.read()
+    return spark.createDataFrame([(len(data), data.decode()[:1000])], "bytes bigint, head string")
+
+
+@query("select n_nationkey as key, n_name as value from nation")
+def side_effect(spark, d):
+    """A map for its side effect alone: each partition writes what it sees, on the executors."""
+    path = shared_dir(spark)
+
+    def write(rows) -> None:
+        where, plain = fs.FileSystem.from_uri(path)
+        where.create_dir(plain)
+        with where.open_output_stream(f"{plain}/{TaskContext.get().partitionId()}.txt") as f:
+            for r in rows:
+                f.write(f"{r['n_nationkey']}\t{r['n_name']}\n".encode())
+
+    sinks.for_each(_t(spark, d, "nation").repartition(3), write)
+    return sources.text_dir(spark, path).select(F.split("value", "\t")[0].cast("int").alias("key"), F.split("value", "\t")[1].alias("value"))
+
+
+@query("select i as value, i as place from range(100) t(i)")
+def slice_source(spark, d):
+    """One shard, in order."""
+    df = Dataset.slice(spark, range(100)).df
+    return df.select("value", F.monotonically_increasing_id().alias("place"))
+
+
+@query("select n_name as value from nation where n_regionkey = 1")
+def directory_source(spark, d):
+    """Lines of the files of a directory, not of those below it."""
+    path = shared_dir(spark)
+    names = _t(spark, d, "nation").select("n_name", "n_regionkey")
+    sinks.save_text(names.where("n_regionkey = 1").select("n_name"), path)
+    sinks.save_text(names.where("n_regionkey <> 1").select("n_name"), f"{path}/below")
+    return sources.text_dir(spark, path)
+
+
+@query("select r_name as value from region")
+def listed_files(spark, d):
+    """Files that a frame of paths names, read where the tasks run."""
+    path = shared_dir(spark)
+    sinks.save_text(_t(spark, d, "region").select("r_name").repartition(3), path)
+    return sources.text_of_listing(sources.binary_listing(spark, path)).select("value")
+
+
+@query("select count(*) as n, 1 as shards from orders")
+def all_to_one(spark, d):
+    df = exchange.merged(_t(spark, d, "orders").select("o_orderkey"))
+    return df.select(F.spark_partition_id().alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").cast("int").alias("shards"))
+
+
+@query("select count(*) as n, 4 as shards, true as even from orders")
+def one_to_all(spark, d):
+    """One shard dealt to four, evenly."""
+    df = exchange.spread(_t(spark, d, "orders").select("o_orderkey").coalesce(1), 4)
+    sizes = df.groupBy(F.spark_partition_id().alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("shards"), (F.max("n") - F.min("n") <= 4).alias("even"))
+
+
+@query("select o_orderkey as key, strptime(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000'), '%Y-%m-%dT%H:%M:%S.%g') as value from orders")
+def parsed_times(spark, d):
+    """Times as text, parsed; text that is no time would be null."""
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), fn.parse_time(text).cast("timestamp_ntz").alias("value"))
+
+
+@query("select count(*) as rows from lineitem where l_quantity > 10")
+def run_statistics(spark, d):
+    """Rows counted as they pass, by an observation of the run."""
+    df, seen = observed(_t(spark, d, "lineitem").where("l_quantity > 10").select("l_orderkey"))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"],)], "rows bigint")
+
+
+@query("select 2 as sources, 1 as ends, 1 as joins")
+def plan_plot(spark, d):
+    """The plan of a join as a graph: two edges leave the start, one reaches the end."""
+    lines = dot(join_inner(spark, d)).split("\n")
+    row = (sum(x.strip().startswith("start ->") for x in lines), sum("-> end" in x for x in lines), sum("Join" in x for x in lines))
+    return spark.createDataFrame([row], "sources int, ends int, joins int")

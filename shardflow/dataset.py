@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shardflow import sinks, sources
 from shardflow.operators import aggregation as agg
-from shardflow.operators import exchange, joins, ordering
+from shardflow.operators import exchange, joins, opaque, ordering
 from shardflow.plans import inspect
-from shardflow.session import ship
 from shardflow.shapes import Shape, shape_of
 
 Expr = Column | str
@@ -67,32 +65,19 @@ class Dataset:
         return Dataset(out.select("value.*") if isinstance(kind, StructType) else out)
 
     def map_with(self, f: Callable, schema: str) -> Dataset:
-        """An opaque function of the row's columns that returns a value or a tuple."""
+        """An opaque function of the row's columns that returns a value or a tuple; nulls arrive as None."""
         return self.flat_map_with(lambda *row: (f(*row),), schema)
 
     def flat_map_with(self, f: Callable, schema: str) -> Dataset:
-        """An opaque function of the row's columns that yields values or tuples; batches go through Arrow."""
-        ship(self.df.sparkSession)
-        names = [p.split()[0] for p in _fields(schema)]
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in frames:
-                rows = [y if isinstance(y, tuple) else (y,) for r in x.itertuples(index=False, name=None) for y in f(*r)]
-                yield pd.DataFrame(rows, columns=names)
-
-        return Dataset(self.df.mapInPandas(run, schema))
+        """An opaque function of the row's columns that yields values or tuples; batches go through Arrow as Python values,
+        so that whole numbers of any size stay exact beside nulls."""
+        return Dataset(opaque.flat_map(self.df, f, schema))
 
     def filter(self, condition: Expr) -> Dataset:
         return Dataset(self.df.where(condition))
 
     def filter_with(self, f: Callable[..., bool]) -> Dataset:
-        ship(self.df.sparkSession)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in frames:
-                yield x[[bool(f(*r)) for r in x.itertuples(index=False, name=None)]]
-
-        return Dataset(self.df.mapInPandas(run, self.df.schema))
+        return Dataset(opaque.keep_rows(self.df, f))
 
     # placement and order
 
@@ -182,15 +167,3 @@ class Dataset:
 
 def _col(e: Expr) -> Column:
     return F.expr(e) if isinstance(e, str) else e
-
-
-def _fields(schema: str) -> list[str]:
-    """Top-level fields of a DDL string."""
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return [x.strip() for x in out]

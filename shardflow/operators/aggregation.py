@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shardflow.session import ship
+from shardflow.session import shared_dir, ship
 from shardflow.shapes import key_of
 
 Fold = str | Callable[[Column], Column]
@@ -57,11 +57,26 @@ def local_reduce_by_key(df: DataFrame, f: Fold) -> DataFrame:
 
 def fold_runs(df: DataFrame, f: Fold, order: str, shard: Column | None = None) -> DataFrame:
     """(shard, run, key, value): runs of equal neighbouring keys in a given order are folded; a key may have
-    several. Runs are numbered inside a shard (an expression over df), so shards bound what a task sees."""
-    df = df.withColumn("shard", shard if shard is not None else F.lit(0))
-    over = W.partitionBy("shard").orderBy(order)
-    new = F.when(F.lag("key").over(over).eqNullSafe(F.col("key")) & (F.row_number().over(over) > 1), 0).otherwise(1)
-    runs = df.withColumn("new_", new).withColumn("run", F.sum("new_").over(over.rowsBetween(W.unboundedPreceding, 0)))
+    several. Runs are numbered from 1 inside a shard (an expression over df; without one all rows are a shard).
+
+    Rows are ranged by shard and order, so no task sees more than its range however large a shard is; ranges are
+    written to the shared folder, and a range's first run continues the last one of the range before where the keys
+    are equal, which is told from one row for each range and shard."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    ranged = df.withColumn("shard", shard if shard is not None else F.lit(0)).repartitionByRange("shard", order)
+    ranged = ranged.withColumn("range_", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    inside = W.partitionBy("range_", "shard").orderBy(order)
+    new = F.when(F.lag("key").over(inside).eqNullSafe(F.col("key")) | (F.row_number().over(inside) == 1), 0).otherwise(1)
+    ranged = ranged.withColumn("new_", new).withColumn("turn_", F.sum("new_").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    ends = ranged.groupBy("shard", "range_").agg(F.min_by(F.struct("key"), order).alias("a_"), F.max_by(F.struct("key"), order).alias("z_"), F.sum("new_").alias("n_"))
+    over = W.partitionBy("shard").orderBy("range_")
+    starts = ends.withColumn("s_", F.when(F.lag("z_").over(over).isNotNull() & (F.lag("z_").over(over) == F.col("a_")), 0).otherwise(1))
+    first = F.sum(F.col("s_") + F.col("n_")).over(over.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")
+    runs = ranged.join(starts.select("shard", "range_", first.alias("first_")), ["shard", "range_"])
+    runs = runs.withColumn("run", F.col("first_") + F.col("turn_"))
     return runs.groupBy("shard", "run", "key").agg(aggregate_of(f, "value").alias("value"))
 
 
@@ -81,17 +96,21 @@ def local_group_by_key(df: DataFrame, normal: Callable[[Column], Column] | None
 
 def reduce_with(df: DataFrame, f: Callable[[object, object], object], column: str = "value") -> DataFrame:
     """One row by an opaque associative, commutative function: each partition folds its rows batch by batch, then
-    one task folds the partitions' results (after an exchange, so that the first step stays parallel). An empty input gives no row."""
+    one task folds the partitions' results (after an exchange, so that the first step stays parallel). Nulls arrive as
+    None. An empty input gives no row."""
     ship(df.sparkSession)
     one = df.select(column)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = (fold(f, x[column].tolist()) for x in frames if len(x))
-        first = next(parts, None)
-        if first is not None:
-            yield pd.DataFrame({column: [fold(f, parts, first)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, parts = None, []
+        for b in batches:
+            if b.num_rows:
+                kind = b.schema
+                parts = [fold(f, [*parts, *b.column(0).to_pylist()])]
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(parts, kind.types[0])], schema=kind)
 
-    return one.mapInPandas(run, one.schema).repartition(1).mapInPandas(run, one.schema)
+    return one.mapInArrow(run, one.schema).repartition(1).mapInArrow(run, one.schema)
 
 
 def reduce_by_key_with(df: DataFrame, f: Callable[[object, object], object]) -> DataFrame:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardflow.session import ship
+
+#: Bytes that a task reads at once.
+BLOCK = 4 << 20
+
 
 def text_file(spark: SparkSession, path: str, shards: int | None = None) -> DataFrame:
     """(value): lines that end in a newline, without a carriage return before it; lines of any length. A path
@@ -31,12 +40,43 @@ def text_of_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+def text_of_listing(paths: DataFrame, column: str = "path") -> DataFrame:
+    """(path, value): lines of the files that a frame names, which may be as many as it likes: tasks open them where they
+    run, and read a block at a time. A file that isn't there is an error; null paths are left out."""
+    ship(paths.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in filter(None, b.column(0).to_pylist()):
+                where, plain = fs.FileSystem.from_uri(path)
+                with where.open_input_stream(plain) as f:
+                    rest = b""
+                    while data := f.read(BLOCK):
+                        *lines, rest = (rest + data).split(b"\n")
+                        yield _lines(path, lines)
+                    if rest:
+                        yield _lines(path, [rest])
+
+    return paths.select(column).mapInArrow(run, "path string, value string")
+
+
+def _lines(path: str, lines: list[bytes]) -> pa.RecordBatch:
+    text = [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(text), pa.string()), pa.array(text, pa.string())], ["path", "value"])
+
+
 def numbered_words(text: Column, separator: str = r"[^\S\n]+") -> Column:
     """An array of (line_number from 0, word) of a text; empty words are left out, empty lines counted."""
     per_line = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.filter(F.split(line, separator), lambda w: w != ""), lambda w: F.struct(i.alias("line_number"), w.alias("word"))))
     return F.flatten(per_line)
 
 
+def numbered_word_rows(docs: DataFrame, text: str, *others: str, separator: str = r"[^\S\n]+") -> DataFrame:
+    """The same as rows (line_number, word, and other columns): two generators, which Spark compiles."""
+    lines = docs.select(*others, F.posexplode(F.split(text, "\n")).alias("line_number", "line"))
+    return lines.select(*others, "line_number", F.explode(F.split("line", separator)).alias("word")).where("word <> ''")
+
+
 def xml_rows(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Attributes of one XML element a line, by a schema of names with a leading underscore; lines that aren't such
     an element are dropped."""

@@ -1,5 +1,5 @@
 """Live channels on Structured Streaming."""
 
-from shardflow.streaming.channels import receive, run_to_end, sorted_batches
+from shardflow.streaming.channels import fan_in, receive, run_to_end, sorted_batches
 
-__all__ = ["receive", "run_to_end", "sorted_batches"]
+__all__ = ["fan_in", "receive", "run_to_end", "sorted_batches"]

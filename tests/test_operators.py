@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 from itertools import groupby
 
 import pytest
@@ -9,10 +10,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from shardflow import sources
 from shardflow.dataset import Dataset
 from shardflow.functions import fnv1a
 from shardflow.operators import aggregation as agg
 from shardflow.operators import exchange, joins, ordering
+from shardflow.streaming import fan_in
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 PAIRS = st.lists(st.tuples(st.integers(-4, 4), st.integers(-9, 9)), max_size=25)
@@ -231,3 +234,66 @@ def test_opaque_fold_of_null_and_odd_float_keys(spark):
     assert got(agg.reduce_by_key_with(whole, add)) == [(3, 4), (None, 3)]
     odd = spark.createDataFrame([(math.nan, 1), (math.nan, 2), (0.0, 4), (-0.0, 8), (None, 16)], "key double, value int").repartition(4)
     assert sorted(r["value"] for r in agg.reduce_by_key_with(odd, add).collect()) == [3, 12, 16]
+
+
+WIDE = [9007199254740993, None, -9007199254740995, 1, None, (1 << 62) + 1]
+
+
+def test_opaque_functions_keep_wide_numbers_beside_nulls(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(WIDE)], "key bigint, value bigint").repartition(3)
+    ds = Dataset(df)
+    assert sorted(ds.map_with(lambda k, v: (k, v), "key bigint, value bigint").collect()) == list(enumerate(WIDE))
+    assert sorted(ds.filter_with(lambda k, v: v is not None and v > 1).collect()) == [(i, x) for i, x in enumerate(WIDE) if x is not None and x > 1]
+    twice = ds.flat_map_with(lambda k, v: [(k, v)] * 2 if v is None else [], "key bigint, value bigint")
+    assert sorted(twice.collect()) == [(1, None)] * 2 + [(4, None)] * 2
+    total = ds.map("value").reduce_with(lambda a, b: (a or 0) ^ (b or 0)).collect()
+    assert total == [9007199254740993 ^ -9007199254740995 ^ 1 ^ ((1 << 62) + 1)]
+    kinds = Dataset(spark.createDataFrame([(datetime.date(2020, 1, 2), [1, None], {"a": 1.5})], "d date, l array<int>, m map<string,double>"))
+    assert kinds.map_with(lambda d, n, m: (d.year, n, dict(m)["a"]), "y int, l array<int>, x double").collect() == [(2020, [1, None], 1.5)]
+    assert ds.filter_with(lambda k, v: False).collect() == [] == ds.flat_map_with(lambda k, v: [], "x int").collect()
+
+
+@pytest.mark.parametrize("n, keys, parts", [(500, 2, 7), (300, 1, 5), (200, 50, 3)])
+def test_runs_go_on_across_ranges(spark, n, keys, parts):
+    """Without shards the rows of one order are dealt over tasks; their runs are those of a walk."""
+    r = random.Random(n)
+    rows = [(i, None if (k := r.choice([0, 0, 0, r.randrange(keys + 1)])) == keys else f"k{k}", r.randrange(9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "at bigint, key string, value bigint").repartition(parts)
+    want = []
+    for _, k, v in rows:
+        if want and want[-1][1] == k:
+            want[-1][2] += v
+        else:
+            want.append([len(want) + 1, k, v])
+    got = agg.fold_runs(df, "sum", "at")
+    assert [[x["run"], x["key"], x["value"]] for x in got.orderBy("run").collect()] == want
+
+
+def test_ties_of_a_comparator_are_dealt_over_ranges(spark):
+    """A key that most rows share is sorted by several tasks, and the order stays."""
+    df = spark.createDataFrame([("b" if i % 10 else "ac"[i // 10 % 2], i) for i in range(4000)], "key string, value bigint").repartition(4)
+    out = ordering.sort_by_comparator(df, lambda a, b: a < b, shards=8)
+    sizes = [x["n"] for x in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 2000
+    rows = out.collect()
+    assert [x["key"] for x in rows] == ["a"] * 200 + ["b"] * 3600 + ["c"] * 200
+    assert sorted(x["value"] for x in rows) == list(range(4000))
+    many = ordering.sort_by_comparator(df, lambda a, b: a < b, shards=2, rows=300)
+    assert many.rdd.getNumPartitions() == 14 and [x["key"] for x in many.collect()] == [x["key"] for x in rows]
+
+
+def test_files_that_a_frame_names(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo\n\nthree")
+    (tmp_path / "b.txt").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes("käse\n".encode() + b"x" * 9_000_000 + b"\n")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.txt",) for n in "abc"] + [(None,)], "path string")
+    got = [(r["path"][-5], r["value"]) for r in sources.text_of_listing(paths).collect()]
+    assert sorted(got) == sorted([("a", "one"), ("a", "two"), ("a", ""), ("a", "three"), ("c", "käse"), ("c", "x" * 9_000_000)])
+    with pytest.raises(Exception, match="gone"):
+        sources.text_of_listing(spark.createDataFrame([(f"file://{tmp_path}/gone",)], "path string")).collect()
+
+
+def test_fan_in(spark):
+    a, b = (spark.createDataFrame([(x,)], "value int") for x in (1, 2))
+    assert sorted(Dataset(fan_in(a, b, change=lambda d: d.select((F.col("value") * 2).alias("value")))).collect()) == [2, 4]
+    assert Dataset(fan_in(a)).collect() == [1]
