@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import os
+import random
 import re
 
 import pytest
@@ -169,6 +170,94 @@ def test_empty_and_clashes(spark):
     cases.same_with_clashes(cases.docs(spark), secrets)
 
 
+def naive_key(b):
+    """Private keys by a second parser, which builds a tree: (tag, bytes or children) or None."""
+
+    def tree(b):
+        out = []
+        while b:
+            if len(b) < 2:
+                return None
+            tag, n, b = b[0], b[1], b[2:]
+            if n > 127:
+                k = n - 128
+                if not 1 <= k <= 4 or len(b) < k or b[0] == 0 or (n := int.from_bytes(b[:k], "big")) < 128:
+                    return None
+                b = b[k:]
+            if len(b) < n:
+                return None
+            out.append((tag, b[:n]))
+            b = b[n:]
+        return out
+
+    def whole(b):
+        t = tree(b)
+        return t is not None and len(t) == 1 and t[0][0] == 0x30 and tree(t[0][1])
+
+    parts = whole(b)
+    if not parts:
+        return False
+    tags = [t for t, _ in parts]
+    small = lambda k: int.from_bytes(parts[k][1], "big")
+    algorithm = lambda k: (t := tree(parts[k][1])) and t[0][0] == 6 and len(t[0][1]) > 0
+    if tags[:9] == [2] * 9:
+        return small(0) < 2 and small(1) >> 255 > 0 and small(2) % 2 == 1
+    if tags == [2] * 6:
+        return small(0) == 0 and small(1) >> 255 > 0
+    if tags[:2] == [2, 4]:
+        return small(0) == 1 and 16 <= len(parts[1][1]) <= 80 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    if tags[:3] == [2, 0x30, 4]:
+        return bool(small(0) < 2 and algorithm(1) and tree(parts[2][1]))
+    return bool(tags == [0x30, 4] and algorithm(0) and len(parts[1][1]) % 8 == 0 and len(parts[1][1]) >= 32)
+
+
+def test_added_spans_by_brute_force():
+    """Texts of words that are keys, tokens, and damaged ones: a word's span is there if a second parser takes its bytes
+    for a key, or json reads its parts as a token's, and no other span is added."""
+    r = random.Random(4)
+    whole = [PKCS1, SEC1, PKCS8, ENCRYPTED]
+
+    def damaged(b):
+        b = bytearray(b)
+        for _ in range(r.choice((0, 0, 1, 1, 2, 3))):
+            way, at = r.randrange(4), r.choice((r.randrange(min(12, len(b))), r.randrange(len(b))))
+            if way == 0:
+                b[at] = r.randrange(256)
+            elif way == 1:
+                del b[at]
+            elif way == 2:
+                b.insert(at, r.randrange(256))
+            else:
+                b[at] ^= 1
+        return bytes(b)
+
+    seen = {"key_base64": 0, "key_hex": 0, "token": 0}
+    for _ in range(400):
+        text, want = "", set()
+        for _ in range(r.randint(1, 6)):
+            kind = r.choice(("key_base64", "key_hex", "token", ""))
+            if kind == "":
+                word = cases.prose(r.randint(1, 9), r.randrange(99)).replace("\n", " ")
+                good = False
+            elif kind == "token":
+                head = r.choice(({"alg": "HS256"}, {"alg": 5}, {"typ": "JWT"}, ["alg"], {"alg": "RS256", "kid": "k"}))
+                body = r.choice((b'{"sub":"1","n":12345}', b'{"sub":', b"plain text here", b'["a"]'))
+                word = ".".join((url64(json.dumps(head).encode()), url64(body), url64(b"signed by someone")))
+                good = isinstance(head, dict) and isinstance(head.get("alg"), str) and body[-1:] in b"}]"
+            else:
+                data = damaged(r.choice(whole))
+                word = r.choice((data.hex(), data.hex().upper())) if kind == "key_hex" else r.choice((base64.b64encode(data).decode(), url64(data)))
+                good = naive_key(data)
+            text += r.choice((" ", "\n\n", "\u00e9 ", "; "))
+            if good:
+                want.add((len(text), kind, len(text) + len(word)))
+                seen[kind] += 1
+            text += word + r.choice((" ", ", ", "\n. "))
+        got = {(a, KINDS[k], b) for a, k, b in scan(text) if k > 2}
+        assert got == want, text
+    assert min(seen.values()) > 60
+
+
 @pytest.mark.parametrize(
     "heads, size, good",
     [
