@@ -25,19 +25,26 @@ _CHUNK = 1 << 16
 _P = [f"p{k}" for k in range(PIVOTS // 8)]
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included: a bit is 1 if it is in over half of the
-    shingles' XXH64. A-Z are lower-cased; fewer words than a shingle has are one shingle; none give 0."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> tuple[np.ndarray, list[bytes]]:
+    """XXH64 of a text's word shingles, repeats included, and its words. A-Z are lower-cased; fewer words than a shingle
+    has are one shingle, also none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else iter([b" ".join(w)])
-    n = max(1, len(w) - words + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(w) - words + 1)), w
+
+
+def fold(h: np.ndarray) -> int:
+    """64 bits, each 1 if it is in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
+    for i in range(0, len(h), _CHUNK):
         ones += np.unpackbits(h[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; no words give 0."""
+    h, w = shingle_hashes(text, words, seed)
+    return fold(h) if w else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:

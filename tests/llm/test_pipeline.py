@@ -6,12 +6,13 @@ import corpus_pipeline
 from shardflow.llm.common import keep
 from shardflow.llm.mixing import mix
 from shardflow.llm.queries import VOCABULARY
+from shardflow.llm.similar import similar_groups
 from shardflow.llm.toxicity import toxicity
 from tests.conftest import SMALL
 from tests.llm import cases
 from tests.llm import test_exact_dedup as exact
 from tests.llm import test_packing as packing
-from tests.llm import test_simhash as near
+from tests.llm import test_similar as near
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,8 +51,11 @@ def test_exact_copies_go(stages):
 
 
 def test_near_copies_go(stages):
-    want = sorted(i for i, _, c in near.brute(rows(stages["exact_dedup"])) if i == c)
-    assert want == sorted(r["doc_id"] for r in stages["simhash"].collect())
+    """Five words, similarity 0.8: by all pairs, no two that stay are similar, and what goes is linked to one that stays."""
+    before = [r[:2] for r in rows(stages["exact_dedup"])]
+    groups = [tuple(r) for r in similar_groups(stages["exact_dedup"]).collect()]
+    near.check(before, groups)
+    assert sorted(i for i, g in groups if i == g) == sorted(r["doc_id"] for r in stages["simhash"].collect())
 
 
 def test_mix(stages):

@@ -1,0 +1,139 @@
+import re
+
+import numpy as np
+import pytest
+
+from shardflow.llm.similar import BITS, drop_similar, keys, similar_groups
+from shardflow.llm.simhash import fingerprint
+from tests.conftest import SMALL
+from tests.llm import cases
+
+
+def shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def check(rows, got, least=0.8):
+    """Groups are connected by similar pairs, and no two documents with their group's id are similar."""
+    sets = [shingles(t) for _, t in rows]
+    ids = [i for i, _ in rows]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in where[x] if j > i}:
+            if similarity(s, sets[j]) >= least:
+                links.append((i, j))
+                root[top(i)] = top(j)
+    group = dict(got)
+    assert len(group) == len(got) == len(rows)
+    classes = {}
+    for i in range(len(rows)):
+        classes.setdefault(group[ids[i]], []).append(i)
+    for g, members in classes.items():
+        assert g == min(ids[i] for i in members)
+        assert len({top(i) for i in members}) == 1, "linked without similarity"
+    stay = {i for i in range(len(rows)) if group[ids[i]] == ids[i]}
+    assert not [(ids[i], ids[j]) for i, j in links if i in stay and j in stay]
+    return len(links), len(rows) - len(stay)
+
+
+def edited(r, text, share):
+    w = text.split(" ")
+    for _ in range(int(len(w) * share)):
+        w[r.integers(len(w))] = f"new{r.integers(10**6)}"
+    return " ".join(w)
+
+
+def test_groups_of_edited_texts(spark):
+    """Texts with some words changed, some a little and some too much, and chains of them, by trying all pairs."""
+    r = np.random.default_rng(8)
+    texts = []
+    for k in range(40):
+        base = cases.prose(int(r.integers(8, 400)), 100 + k).replace("\n", " ")
+        texts.append(base)
+        for _ in range(int(r.integers(0, 8))):
+            texts.append(edited(r, texts[-1] if r.random() < 0.3 else base, float(r.choice([0.004, 0.01, 0.02, 0.04, 0.1]))))
+    order = r.permutation(len(texts))
+    rows = [(int(i), texts[i]) for i in order]
+    got = similar_groups(cases.of(spark, dict(rows), parts=5)).collect()
+    links, gone = check(rows, [tuple(x) for x in got])
+    assert links > 60 and gone > 40
+
+
+def test_many_that_are_nearly_similar(spark):
+    """A template whose texts differ too much, and pairs among them that don't: those that fail against the first one are
+    compared with all others."""
+    r = np.random.default_rng(3)
+    base = cases.prose(120, 7).replace("\n", " ")
+    texts = [edited(r, base, 0.05) for _ in range(60)]
+    texts += [edited(r, t, 0.009) for t in texts[::3]]
+    rows = list(enumerate(texts))
+    got = similar_groups(cases.of(spark, dict(rows))).collect()
+    links, gone = check(rows, [tuple(x) for x in got])
+    assert links >= 20 and gone >= 20
+
+
+def test_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = similar_groups(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    links, gone = check(rows, [tuple(x) for x in got])
+    assert links > 10 and gone > 10
+
+
+def test_fingerprints_of_similar_texts_are_within_bounds():
+    r = np.random.default_rng(2)
+    for k in range(200):
+        a = cases.prose(int(r.integers(9, 300)), k).replace("\n", " ")
+        b = edited(r, a, 0.02)
+        if similarity(shingles(a), shingles(b)) >= 0.8:
+            assert bin(fingerprint(a, 5) ^ fingerprint(b, 5)).count("1") <= BITS
+
+
+def test_keys_are_those_of_the_set():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000, np.uint64)
+    assert (keys(h) == keys(h[::-1].copy())).all() and (keys(np.concatenate([h, h])) == keys(h)).all()
+    assert (keys(h[:10]) != keys(h[10:20])).all()
+
+
+def test_awkward_rows(spark):
+    df = cases.docs(spark)
+    got = [tuple(x) for x in similar_groups(df).collect()]
+    assert sorted(map(repr, (i for i, _ in got))) == sorted(repr(r[0]) for r in cases.awkward())
+    by = {i: g for i, g in got if i is not None}
+    assert by[1] == by[2] == by[3] == 1 and by[4] == by[5] == by[6] == 4 and by[9] == by[10] == 9 and by[12] == by[13] == 12 and by[8] == 8
+    assert {g for i, g in got if i is None} == {None, 4}
+    out = drop_similar(df)
+    assert out.columns == df.columns
+    ids = [r["doc_id"] for r in out.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == {i for i, g in got if i == g}
+    assert drop_similar(cases.clashing(df)).columns == cases.clashing(df).columns
+    cases.same_with_clashes(df, similar_groups)
+
+
+@pytest.mark.parametrize("run", [similar_groups, drop_similar])
+def test_empty(spark, run):
+    assert cases.rows(run(cases.docs(spark, []))) == []
+
+
+def test_one_group_of_very_many(spark):
+    """A hot group gives one pair for each member."""
+    base = cases.prose(60, 5).replace("\n", " ").split(" ")
+    rows = {i: " ".join([*base, f"end{i}"]) for i in range(3000)}
+    got = similar_groups(cases.of(spark, rows, parts=8))
+    assert {tuple(x) for x in got.select("group_id").distinct().collect()} == {(0,)}
