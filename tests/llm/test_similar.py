@@ -60,7 +60,8 @@ def edited(r, text, share):
     return " ".join(w)
 
 
-def test_groups_of_edited_texts(spark):
+@pytest.mark.parametrize("long", [50_000, 3])
+def test_groups_of_edited_texts(spark, long):
     """Texts with some words changed, some a little and some too much, and chains of them, by trying all pairs."""
     r = np.random.default_rng(8)
     texts = []
@@ -71,12 +72,13 @@ def test_groups_of_edited_texts(spark):
             texts.append(edited(r, texts[-1] if r.random() < 0.3 else base, float(r.choice([0.004, 0.01, 0.02, 0.04, 0.1]))))
     order = r.permutation(len(texts))
     rows = [(int(i), texts[i]) for i in order]
-    got = similar_groups(cases.of(spark, dict(rows), parts=5)).collect()
+    got = similar_groups(cases.of(spark, dict(rows), parts=5), long=long).collect()
     links, gone = check(rows, [tuple(x) for x in got])
     assert links > 60 and gone > 40
 
 
-def test_many_that_are_nearly_similar(spark):
+@pytest.mark.parametrize("long", [50_000, 4])
+def test_many_that_are_nearly_similar(spark, long):
     """A template whose texts differ too much, and pairs among them that don't: those that fail against the first one are
     compared with all others."""
     r = np.random.default_rng(3)
@@ -84,7 +86,7 @@ def test_many_that_are_nearly_similar(spark):
     texts = [edited(r, base, 0.05) for _ in range(60)]
     texts += [edited(r, t, 0.009) for t in texts[::3]]
     rows = list(enumerate(texts))
-    got = similar_groups(cases.of(spark, dict(rows))).collect()
+    got = similar_groups(cases.of(spark, dict(rows)), long=long).collect()
     links, gone = check(rows, [tuple(x) for x in got])
     assert links >= 20 and gone >= 20
 
@@ -131,9 +133,10 @@ def test_empty(spark, run):
     assert cases.rows(run(cases.docs(spark, []))) == []
 
 
-def test_one_group_of_very_many(spark):
-    """A hot group gives one pair for each member."""
+@pytest.mark.parametrize("long", [50_000, 200])
+def test_one_group_of_very_many(spark, long):
+    """A hot group gives one pair for each member, and for each part's leader; parts hold a bounded number."""
     base = cases.prose(60, 5).replace("\n", " ").split(" ")
     rows = {i: " ".join([*base, f"end{i}"]) for i in range(3000)}
-    got = similar_groups(cases.of(spark, rows, parts=8))
+    got = similar_groups(cases.of(spark, rows, parts=8), long=long)
     assert {tuple(x) for x in got.select("group_id").distinct().collect()} == {(0,)}
