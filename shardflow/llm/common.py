@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -83,16 +84,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _give_back() -> None:
+    """Free memory of Arrow's and the C library's pools, where the latter can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def on_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, holds: str = "") -> DataFrame:
     """mapInArrow with this package sent to the workers first. What a worker remembers between tasks (`memory`) is given up
-    when it goes on to an operation that doesn't hold it: workers serve one stage after another."""
+    when it goes on to an operation that doesn't hold it: workers serve one stage after another, and give back to the
+    system what is free."""
     ship(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in set(memory) - {holds}:
             del memory[name]
-        pa.default_memory_pool().release_unused()
+        _give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return df.mapInArrow(task, schema)

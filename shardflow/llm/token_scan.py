@@ -22,7 +22,7 @@ TASK = 64 << 20
 #: Blocks whose summaries are scanned by one task before the sums of such groups are scanned.
 GROUP = 1024
 #: Words that a worker remembers while it writes.
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Documents whose ids are noted in one row beside a file.
 NOTED = 1024
 

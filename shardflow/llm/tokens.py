@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from shardflow.llm.common import memory
 
 #: Words whose ids a worker remembers, and the longest of them, in bytes.
-WORDS, LONGEST = 650_000, 48
+WORDS, LONGEST = 250_000, 48
 
 
 #: ASCII characters that are neither letters, digits nor white space: a run of them is one piece.

@@ -30,7 +30,7 @@ POWER = 2
 #: Neighbouring words of this many letters at most are also read as one.
 SHORT = 4
 #: Words, and joins of two, that a worker remembers, and the longest of them.
-WORDS, LONGEST = 350_000, 48
+WORDS, LONGEST = 150_000, 48
 #: Texts that are read together.
 PART = 128
 #: Labelled documents that training reads, of each label, taken by hash, and the bytes of their texts together.
