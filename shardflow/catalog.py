@@ -214,9 +214,15 @@ def group_map_with(spark, d):
     select word as key, string_agg(doc_id || ':' || n, ',' order by doc_id, n) as places from w where word <> '' group by 1""")
 def inverted_index(spark, d):
     """A row for each word, with all its places."""
+    g = agg.group_by_key(_places(spark, d))
+    return g.select("key", F.array_join("values.place", ",").alias("places"))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """Places sort by document and line; their text is made before they are grouped, and no lambda runs over a group."""
     each = sources.numbered_word_rows(_t(spark, d, "documents"), "text", "doc_id")
-    g = agg.group_by_key(each.select(F.col("word").alias("key"), F.struct("doc_id", F.col("line_number").alias("n")).alias("value")))
-    return g.select("key", F.array_join(F.transform("values", lambda v: F.concat_ws(":", v["doc_id"].cast("string"), v["n"].cast("string"))), ",").alias("places"))
+    place = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_number").cast("string")).alias("place")
+    return each.select(F.col("word").alias("key"), F.struct("doc_id", "line_number", place).alias("value"))
 
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
@@ -225,10 +231,8 @@ def inverted_index(spark, d):
 def inverted_index_segments(spark, d):
     """The same in segments of 256 documents: a row stays bounded however common its word is, and a common word's
     segments are grouped by many tasks."""
-    each = sources.numbered_word_rows(_t(spark, d, "documents"), "text", "doc_id")
-    segment = F.expr("doc_id div 256").alias("segment")
-    g = each.groupBy(F.col("word").alias("key"), segment).agg(F.sort_array(F.collect_list(F.struct("doc_id", "line_number"))).alias("v"))
-    return g.select("key", "segment", F.array_join(F.transform("v", lambda v: F.concat_ws(":", v["doc_id"].cast("string"), v["line_number"].cast("string"))), ",").alias("places"))
+    g = _places(spark, d).groupBy("key", F.expr("value.doc_id div 256").alias("segment")).agg(F.sort_array(F.collect_list("value")).alias("values"))
+    return g.select("key", "segment", F.array_join("values.place", ",").alias("places"))
 
 
 # placement

@@ -15,7 +15,7 @@ def tokens(text: Column, separator: str) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case alphanumeric words."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def lines(text: Column) -> Column:
