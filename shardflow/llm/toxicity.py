@@ -24,7 +24,7 @@ FLOOR = 0.4
 #: Landmarks that are bounded together.
 GROUP = 6
 #: Segments of one length that are compared at once.
-BATCH = 512
+BATCH = 4096
 #: A power of a kernel is one, and tells words of the same syllables better apart.
 POWER = 2
 #: Neighbouring words of this many letters at most are also read as one.
@@ -32,7 +32,7 @@ SHORT = 4
 #: Words, and joins of two, that a worker remembers, and the longest of them.
 WORDS, LONGEST = 150_000, 48
 #: Texts that are read together.
-PART = 128
+PART = 384
 #: Labelled documents that training reads, of each label, taken by hash, and the bytes of their texts together.
 SAMPLE, BYTES = 3000, 96 << 20
 LANDMARKS = 192
@@ -95,13 +95,16 @@ class Kernel:
         for j, (f, w) in enumerate(own):
             np.add.at(z[:, j], self.place[f[0]], w)
         self.z = (z / np.maximum(np.sqrt((z**2).sum(0)), 1e-12)).astype(np.float32)
-        near = np.argsort(np.array(landmarks), kind="stable")  # landmarks that begin alike bound units together
-        groups = [near[i : i + GROUP] for i in range(0, len(near), GROUP)]
-        self.bound = np.stack([self.z[:, g].max(1) for g in groups], 1) if groups else np.zeros((1, 1), np.float32)
+        near = np.argsort(np.array(landmarks), kind="stable")  # landmarks that begin alike are bounded together
+        many = max(1, -(-len(near) // GROUP))
+        self.of = np.concatenate([near, np.full(many * GROUP - len(near), len(landmarks))]).astype(np.int64).reshape(many, GROUP)
+        z = np.hstack([self.z, np.zeros((len(self.z), 1), np.float32)])
+        self.parts = np.ascontiguousarray(z[:, self.of].transpose(1, 0, 2))  # group, triple, landmark of the group
+        self.bound = np.ascontiguousarray(self.parts.max(2).T)
 
     def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which units reach FLOOR with some landmark, and their rows, in which smaller values are 0. Most units fall
-        by a bound: for a few landmarks together, the sum of each triple's largest weight among them."""
+        """Which units reach FLOOR with some landmark, and their rows, in which smaller values are 0. Most groups of
+        landmarks fall by a bound: the sum of each triple's largest weight among them."""
         by = defaultdict(list)
         for n, u in enumerate(units):
             by[len(u)].append(n)
@@ -114,16 +117,25 @@ class Kernel:
                 f, w = features(codes([units[n] for n in some], width))
                 place, least = self.place[f], FLOOR * np.sqrt((w**2).sum()) * (1 - 1e-6)  # no norm is smaller
                 w1 = w.astype(np.float32)[None, None, :]
-                most = np.concatenate([np.matmul(w1, self.bound[p])[:, 0, :].max(1) for p in np.array_split(place, len(f) // 512 + 1)])
-                near = np.flatnonzero(most >= least)
-                for cut in np.array_split(near, len(near) // 256 + 1):
-                    if not len(cut):
-                        continue
-                    k = np.matmul(w1, self.z[place[cut]])[:, 0, :] / norms(f[cut], w)[:, None].astype(np.float32)
-                    k = np.where(k < FLOOR, 0, k**POWER)
-                    hit = k.any(1)
-                    who.append(some[cut[hit]])
-                    rows.append(k[hit])
+                most = np.concatenate([np.matmul(w1, self.bound[p])[:, 0, :] for p in np.array_split(place, len(f) // 512 + 1)])
+                dots: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for g in np.flatnonzero((most >= least).any(0)).tolist():
+                    u = np.flatnonzero(most[:, g] >= least)
+                    dot = np.concatenate([np.matmul(w1, self.parts[g][p])[:, 0, :] for p in np.array_split(place[u], len(u) // 256 + 1)])
+                    i, j = np.nonzero(dot >= least)
+                    dots.append((u[i], self.of[g][j], dot[i, j]))
+                if not dots:
+                    continue
+                u, j, dot = (np.concatenate(x) for x in zip(*dots))
+                near, at_ = np.unique(u, return_inverse=True)
+                if not len(near):
+                    continue
+                k = np.zeros((len(near), len(self.landmarks)), np.float32)
+                value = dot / norms(f[near], w).astype(np.float32)[at_]
+                k[at_, j] = np.where(value < FLOOR, 0, value**POWER)
+                hit = k.any(1)
+                who.append(some[near[hit]])
+                rows.append(k[hit])
         if not who:
             return np.empty(0, np.int64), np.empty((0, len(self.landmarks)), np.float32)
         return np.concatenate(who), np.concatenate(rows)
@@ -200,7 +212,10 @@ class Table:
         landmark is near to."""
         parts, owner = [], []
         for n, u in enumerate(units):
-            if len(u) > 2:
+            if 2 < len(u) <= WIDTH:
+                parts.append(u)
+                owner.append(n)
+            elif len(u) > WIDTH:
                 cut = list(dict.fromkeys(windows(u)))
                 parts += cut
                 owner += [n] * len(cut)
