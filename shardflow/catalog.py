@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyarrow import fs
@@ -575,20 +574,18 @@ def output_taps(spark, d):
 @query("select p_name as value from part")
 def save_text_file(spark, d):
     """One text file, read back by lines."""
-    with tempfile.TemporaryDirectory() as local:
-        Dataset(_t(spark, d, "part")).map("p_name").save_text_to_file(f"{local}/out.txt")
-        with open(f"{local}/out.txt", encoding="utf-8") as f:
-            return sources.slice_of(spark, [x.removesuffix("\n") for x in f], "value string")
+    path = f"{shared_dir(spark)}/out.txt"
+    Dataset(_t(spark, d, "part")).map("p_name").save_text_to_file(path)
+    return sources.text_file(spark, path)
 
 
 @query("select cast(sum(strlen(p_name)) as bigint) as bytes, string_agg(p_name, '' order by p_partkey)[1:1000] as head from part")
 def save_bytes_file(spark, d):
     """One file of bytes, row after row."""
-    with tempfile.TemporaryDirectory() as local:
-        Dataset(_t(spark, d, "part").orderBy("p_partkey")).map("cast(p_name as binary)").save_bytes_to_file(f"{local}/out.bin")
-        with open(f"{local}/out.bin", "rb") as f:
-            data = f.read()
-    return spark.createDataFrame([(len(data), data.decode()[:1000])], "bytes bigint, head string")
+    path = f"{shared_dir(spark)}/out.bin"
+    Dataset(_t(spark, d, "part").orderBy("p_partkey")).map("cast(p_name as binary)").save_bytes_to_file(path)
+    file = spark.read.format("binaryFile").load(path)
+    return file.select(F.col("length").alias("bytes"), F.substring("content", 1, 1000).cast("string").alias("head"))
 
 
 @query("select n_nationkey as key, n_name as value from nation")

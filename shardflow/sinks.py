@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 
@@ -22,16 +25,23 @@ def save_text(df: DataFrame, path: str) -> None:
     df.select(df.columns[0]).write.mode("overwrite").text(path)
 
 
+def _one_file(path: str) -> pa.NativeFile:
+    """A file to write, by URI or path; folders above it are made."""
+    where, plain = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+    where.create_dir(plain.rpartition("/")[0])
+    return where.open_output_stream(plain, buffer_size=1 << 20)
+
+
 def save_text_file(df: DataFrame, path: str) -> None:
-    """One local file, a line for each row; rows stream through the driver, a partition at a time."""
-    with open(path, "w", encoding="utf-8", newline="") as f:
+    """One file, a line for each row; rows stream through the driver, a partition at a time."""
+    with _one_file(path) as f:
         for row in df.select(df.columns[0]).toLocalIterator(prefetchPartitions=True):
-            f.write(f"{row[0]}\n")
+            f.write(f"{row[0]}\n".encode())
 
 
 def save_bytes_file(df: DataFrame, path: str) -> None:
-    """One local file, rows one after another."""
-    with open(path, "wb") as f:
+    """One file, rows one after another."""
+    with _one_file(path) as f:
         for row in df.select(df.columns[0]).toLocalIterator(prefetchPartitions=True):
             f.write(bytes(row[0]))
 
