@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from shardflow.session import ship
 
@@ -80,6 +80,17 @@ def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one whole number each up to which a table is broadcast: some tens of megabytes.
+FEW = 2_000_000
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """A written table of one column of whole numbers, marked for a broadcast if it has FEW rows at most; beyond, Spark
+    shuffles both sides of its join."""
+    small = all(isinstance(f.dataType, IntegralType) for f in ids.schema) and ids.count() <= FEW
+    return F.broadcast(ids) if small else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from shardflow.llm.common import SPACE, keep, numbered, pick
+from shardflow.llm.common import SPACE, if_few, keep, numbered, pick
 
 #: Salts by which the copies of one text are merged before the salt winners meet.
 SALTS = 64
@@ -96,7 +96,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     seen = keep(seen.where("stays = 0 or rows > 1").select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"), "stays"), "dropped")
     sha = F.sha2(normalised(F.col(at["text"])), 256)
     same = F.col(at["doc_id"]).eqNullSafe(F.col("id_")) & (sha == F.col("sha_"))
-    kept = plain.join(seen, same, "left_anti")
+    # Rows whose id is none of these need no comparison, and so no move, of their texts.
+    ids = if_few(keep(seen.select(F.col("id_").alias("any_")).distinct(), "ids"))
+    named = F.col(at["doc_id"]).eqNullSafe(F.col("any_"))
+    kept = plain.join(ids, named, "left_anti").unionByName(plain.join(ids, named, "left_semi").join(seen, same, "left_anti"))
     if seen.where("stays = 1").head(1):  # rows that share id and text with a kept one
         many = plain.join(seen.where("stays = 1").select("id_", "sha_"), same)
         one = many.groupBy("id_", "sha_").agg(F.max_by(F.struct(*plain.columns), F.coalesce(F.length(at["text"]), F.lit(0))).alias("r"))
