@@ -401,9 +401,11 @@ def altered(word: str, random: np.random.Generator, n: int = 24) -> list[str]:
     return out
 
 
-def segments(words: list[str], unit_of: dict[str, str]) -> list[list[str]]:
-    """Sentences of a text as lists of their segments: words, joins of two short neighbours, and spelled-out words."""
+def segments(words: list[str], unit_of: dict[str, str], same: dict[str, str] | None = None) -> list[list[str]]:
+    """Sentences of a text as lists of their different segments: words, joins of two short neighbours, and spelled-out
+    words. same: strings that are there already, which are used again."""
     out, now = [], []
+    same = {} if same is None else same
     for w in [*words, None]:
         if w is not None:
             now.append(w)
@@ -413,7 +415,7 @@ def segments(words: list[str], unit_of: dict[str, str]) -> list[list[str]]:
             whole = [x for u in [*us, *both] if len(u) > 2 for x in windows(u)]
             lone = [u if len(u) != 1 or len(x) < 4 else "  " for u, x in zip(us, now)]
             if whole := whole + [x for r in spelled(lone) for x in windows(r)]:
-                out.append(whole)
+                out.append([same.setdefault(x, x) for x in dict.fromkeys(whole)])
             now = []
     return out
 
@@ -432,20 +434,23 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     well, unless they are clean words.
     """
     unit_of: dict[str, str] = {}
+    same: dict[str, str] = {}
     said = []
     for text in texts:
         words = tokens(text)
         for w in set(words).difference(unit_of):
             unit_of[w] = unit(w)
-        said.append((segments(words, unit_of), [u for u in map(unit_of.__getitem__, words) if u]))
+        said.append((segments(words, unit_of, same), [u for u in map(unit_of.__getitem__, words) if u]))
     group = families([us for _, us in said])
+    said = [ss for ss, _ in said]
+    del unit_of, same
     number, count = [0, 0], (Counter(), Counter())
     together = defaultdict(list)
     for n, (g, label) in enumerate(zip(group, toxic)):
         together[label, g].append(n)
     for (label, _), members in together.items():
         number[label] += 1
-        count[label].update({u for n in members for s in said[n][0] for u in s})
+        count[label].update({u for n in members for s in said[n] for u in s})
     good, bad = count
     share = number[1] / max(1, sum(number))
 
@@ -474,7 +479,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     del rows, every
     # Sentences with the same segments near landmarks are one row; those without any are row 0.
     rows_of: dict[tuple, int] = {(): 0}
-    hits = [[rows_of.setdefault(tuple(sorted({place[u] for u in s if u in place})), len(rows_of)) for s in ss] for ss, _ in said]
+    hits = [[rows_of.setdefault(tuple(sorted({place[u] for u in s if u in place})), len(rows_of)) for s in ss] for ss in said]
+    del said
     keys = list(rows_of)
     x = np.zeros((len(keys), mapped.shape[1]), np.float32)
     f = np.zeros(len(keys))
