@@ -371,24 +371,28 @@ def _sigmoid(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(ab[0]), 1e-3), float(ab[1])
 
 
-def families(texts: list[list[str]]) -> list[int]:
-    """A number for each document, the same for near copies: documents are joined when the least hash of their
-    three-word shingles agrees under any of four seeds."""
-    parent, owner = list(range(len(texts))), {}
+def marks(units: list[str]) -> list[tuple[int, int]]:
+    """The least hash of a document's three-word shingles under each of four seeds; none for a document without words."""
+    if not units:
+        return []
+    h = np.array([zlib.crc32(" ".join(x).encode()) for x in zip(units, units[1:] or units, units[2:] or units)], np.uint64)
+    seeds = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+    return [(seed, int(((h + np.uint64(1)) * np.uint64(seed) >> np.uint64(17)).min())) for seed in seeds]
+
+
+def families(marked: list[list[tuple[int, int]]]) -> list[int]:
+    """A number for each document, the same for near copies: documents are joined when any of their marks agree."""
+    parent, owner = list(range(len(marked))), {}
 
     def top(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for n, units in enumerate(texts):
-        if not units:
-            continue
-        h = np.array([zlib.crc32(" ".join(x).encode()) for x in zip(units, units[1:] or units, units[2:] or units)], np.uint64)
-        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5):
-            least = (seed, int(((h + np.uint64(1)) * np.uint64(seed) >> np.uint64(17)).min()))
+    for n, some in enumerate(marked):
+        for least in some:
             parent[top(n)] = top(owner.setdefault(least, n))
-    return [top(n) for n in range(len(texts))]
+    return [top(n) for n in range(len(marked))]
 
 
 def altered(word: str, random: np.random.Generator, n: int = 24) -> list[str]:
@@ -401,11 +405,10 @@ def altered(word: str, random: np.random.Generator, n: int = 24) -> list[str]:
     return out
 
 
-def segments(words: list[str], unit_of: dict[str, str], same: dict[str, str] | None = None) -> list[list[str]]:
+def segments(words: list[str], unit_of: dict[str, str]) -> Iterator[list[str]]:
     """Sentences of a text as lists of their different segments: words, joins of two short neighbours, and spelled-out
-    words. same: strings that are there already, which are used again."""
-    out, now = [], []
-    same = {} if same is None else same
+    words."""
+    now: list[str] = []
     for w in [*words, None]:
         if w is not None:
             now.append(w)
@@ -415,9 +418,8 @@ def segments(words: list[str], unit_of: dict[str, str], same: dict[str, str] | N
             whole = [x for u in [*us, *both] if len(u) > 2 for x in windows(u)]
             lone = [u if len(u) != 1 or len(x) < 4 else "  " for u, x in zip(us, now)]
             if whole := whole + [x for r in spelled(lone) for x in windows(r)]:
-                out.append([same.setdefault(x, x) for x in dict.fromkeys(whole)])
+                yield list(dict.fromkeys(whole))
             now = []
-    return out
 
 
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Model:
@@ -434,23 +436,27 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     well, unless they are clean words.
     """
     unit_of: dict[str, str] = {}
-    same: dict[str, str] = {}
-    said = []
+    number_of: dict[str, int] = {}
+    said: list[list[np.ndarray]] = []  # numbers of the segments of each sentence
+    marked = []
     for text in texts:
         words = tokens(text)
         for w in set(words).difference(unit_of):
             unit_of[w] = unit(w)
-        said.append((segments(words, unit_of, same), [u for u in map(unit_of.__getitem__, words) if u]))
-    group = families([us for _, us in said])
-    said = [ss for ss, _ in said]
-    del unit_of, same
+        said.append([np.array([number_of.setdefault(u, len(number_of)) for u in s], np.int32) for s in segments(words, unit_of)])
+        marked.append(marks([u for u in map(unit_of.__getitem__, words) if u]))
+    names = list(number_of)
+    del unit_of, number_of
+    group = families(marked)
     number, count = [0, 0], (Counter(), Counter())
     together = defaultdict(list)
     for n, (g, label) in enumerate(zip(group, toxic)):
         together[label, g].append(n)
     for (label, _), members in together.items():
         number[label] += 1
-        count[label].update({u for n in members for s in said[n] for u in s})
+        have = [s for n in members for s in said[n]]
+        if have:
+            count[label].update(names[k] for k in np.unique(np.concatenate(have)).tolist())
     good, bad = count
     share = number[1] / max(1, sum(number))
 
@@ -473,13 +479,20 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = (vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T).astype(np.float32)  # of the inverse: Nystroem's map
     every = sorted(good.keys() | bad.keys())
-    at, rows = kernel.rows(every)
-    place = {every[n]: i for i, n in enumerate(at.tolist())}
-    mapped, hint = rows @ root, rows[:, : len(tops)].max(1)
-    del rows, every
+    place: dict[str, int] = {}
+    maps, hints = [], []
+    for k in range(0, len(every), 16384):  # only mapped rows are held
+        at, rows = kernel.rows(every[k : k + 16384])
+        place.update(zip((every[k + n] for n in at.tolist()), range(len(place), len(place) + len(at))))
+        maps.append(rows @ root)
+        hints.append(rows[:, : len(tops)].max(1, initial=0))
+    mapped, hint = np.concatenate(maps), np.concatenate(hints)
+    del maps, hints
+    near_by = np.array([place.get(u, -1) for u in names], np.int64)
+    del rows, every, names
     # Sentences with the same segments near landmarks are one row; those without any are row 0.
     rows_of: dict[tuple, int] = {(): 0}
-    hits = [[rows_of.setdefault(tuple(sorted({place[u] for u in s if u in place})), len(rows_of)) for s in ss] for ss in said]
+    hits = [[rows_of.setdefault(tuple(np.unique(p[p >= 0]).tolist() if (p := near_by[s]).max(initial=-1) >= 0 else ()), len(rows_of)) for s in ss] for ss in said]
     del said
     keys = list(rows_of)
     x = np.zeros((len(keys), mapped.shape[1]), np.float32)
@@ -487,7 +500,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
     for k, hit in enumerate(keys):
         if hit:
             x[k], f[k] = mapped[list(hit)].sum(0), hint[list(hit)].max()
-    calm = np.zeros(len(keys))
+    del mapped, hint, rows_of, keys[:]
+    calm = np.zeros(len(x))
     for rows, g, t in zip(hits, group, toxic):
         if not t:
             for k in set(rows):
@@ -499,15 +513,15 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
         if t and any(rows):
             seen.setdefault(g, sorted({k for k in rows if k}))
     zero = np.zeros((1, len(root)), np.float32)
-    also = np.zeros(len(keys))
+    also = np.zeros(len(x))
     for _ in range(4):
-        held = np.zeros(len(keys))
+        held = np.zeros(len(x))
         for ks in seen.values():
             held[max(ks, key=lambda k: f[k])] += 2
         n = len(seen)
         w, bias = svm([(x, 1.0, held + also), (forms, 1.0, np.full(len(forms), n / max(1, len(forms)))), (x, -1.0, calm), (zero, -1.0, np.array([3.0 * n]))])
         f = x @ w + bias
-        also = np.zeros(len(keys))
+        also = np.zeros(len(x))
         for ks in seen.values():
             for k in ks:
                 also[k] += f[k] > 0

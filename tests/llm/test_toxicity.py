@@ -125,7 +125,7 @@ def test_repeated_ids_train_once(spark):
 
 def test_sentences():
     units = {w: tox.unit(w) for w in ("An", "id", "iot!", "g", "-", "r", "o", "b", "x", "you.", tox.BREAK)}
-    got = tox.segments(tox.tokens("An id iot! g - r o b\nx you."), units)
+    got = list(tox.segments(tox.tokens("An id iot! g - r o b\nx you."), units))
     assert got == [["iot", "anid", "idiot"], ["grob"], ["you", "xyou"]]
     assert tox.tokens("a\n\nb") == ["a", tox.BREAK, tox.BREAK, "b"]
     assert [w for w in ("a", "a.", 'a!"', "a?)", "a,", "...") if tox.ends(w)] == ["a.", 'a!"', "a?)", "..."]
