@@ -520,7 +520,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> Mod
             held[max(ks, key=lambda k: f[k])] += 2
         n = len(seen)
         w, bias = svm([(x, 1.0, held + also), (forms, 1.0, np.full(len(forms), n / max(1, len(forms)))), (x, -1.0, calm), (zero, -1.0, np.array([3.0 * n]))])
-        f = x @ w + bias
+        f = np.concatenate([x[i : i + 8192] @ w for i in range(0, len(x), 8192)]) + bias
         also = np.zeros(len(x))
         for ks in seen.values():
             for k in ks:
