@@ -28,6 +28,8 @@ EARLY = 4
 BITS = 24
 #: Nodes with a common key beyond which they meet in parts.
 LONG = 50_000
+#: Nodes with a common key that are compared by whole sets in one go.
+BLOCK = 4096
 _P = ("p0", "p1", "p2", "p3")
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
@@ -131,34 +133,65 @@ def _led(batches: Iterator[pa.RecordBatch], share: tuple[int, int], mark: bool =
         yield _batch(a, b)
 
 
-def _flagged(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """As `_led`, but flagged rows are paired with all others of their run that may be similar. A run is held: it has only
-    nodes that nothing is linked to, few of which look similar."""
+def _tested(rows: _Rows, part: np.ndarray, sets: pa.ListArray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one run: pairs of rows whose whole sets are similar, one of both flagged, and of different parts if the run has two.
+    Rows are taken in their order; what is similar to one is linked to it and compared no further, so there are fewer
+    pairs than rows."""
+    a, b, (up, down) = [], [], share
+    free = np.arange(len(part))
+    if len(part) < 2 or not rows.flag.any():
+        return free[:0], free[:0]
+    at = sets.offsets.to_numpy().astype(np.int64)
+    codes = np.unique(sets.values.to_numpy()[at[0] : at[-1]], return_inverse=True)[1].ravel()
+    at, own = at - at[0], np.zeros(len(codes) + 1, bool)
+    size, cross = np.diff(at), bool((part != part[0]).any())
+    while len(free):
+        i, free = int(free[0]), free[1:]
+        j = free if rows.flag[i] else free[rows.flag[free]]
+        j = rows.near(rows.one(i), j[part[j] != part[i]] if cross else j, share)
+        if not len(j):
+            continue
+        ends = np.cumsum(size[j])
+        places = np.arange(ends[-1]) + np.repeat(at[j] - ends + size[j], size[j])
+        own[codes[at[i] : at[i + 1]]] = True
+        common = np.add.reduceat(own[codes[places]].astype(np.int64), ends - size[j])
+        own[codes[at[i] : at[i + 1]]] = False
+        j = j[(up + down) * common >= up * (size[i] + size[j])]
+        a.append(np.full(len(j), i))
+        b.append(j)
+        free = free[~np.isin(free, j, assume_unique=True)]
+    return (np.concatenate(a), np.concatenate(b)) if a else (free, free)
+
 
-    def pairs(rows: _Rows) -> pa.RecordBatch:
-        edges, a, b = np.append(rows.starts(), len(rows.t)).tolist(), [], []
+def _flagged(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """From rows (t, key, node, fp, n, flag, part, shingles, pivot columns) in runs of one key: the links between flagged
+    rows and all others of their run (`_tested`), verified here, so that what looks similar and isn't gives no rows.
+    A run is held: it has some BLOCK rows of each of two parts at most."""
+
+    def pairs(held: pa.Table) -> pa.RecordBatch:
+        sets, plain = held.column("shingles").combine_chunks(), held.drop_columns(["part", "shingles"])
+        part, cols, a, b = held.column("part").to_numpy(), _columns(plain), [], []
+        edges = np.append(_Rows(cols).starts(), len(part)).tolist()
         for lo, hi in zip(edges, edges[1:]):
-            some = np.arange(lo, hi)
-            for i in (lo + np.flatnonzero(rows.flag[lo:hi])).tolist():
-                j = rows.near(rows.one(i), some[(some > i) | ~rows.flag[some]], share)
-                a.append(rows.node[np.minimum(i, j)])
-                b.append(rows.node[np.maximum(i, j)])
+            i, j = _tested(_Rows([c[lo:hi] for c in cols]), part[lo:hi], sets.slice(lo, hi - lo), share)
+            a.append(cols[2][lo:hi][i])
+            b.append(cols[2][lo:hi][j])
         return _batch(a, b)
 
-    held: list[list[np.ndarray]] = []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        cols = _columns(batch)
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        held.append(cols)
-        if (cols[0][-1], cols[1][-1]) == (held[0][0][0], held[0][1][0]):
+        held.append(batch)
+        t, key = (batch.column(k).to_numpy() for k in (0, 1))
+        if (t[-1], key[-1]) == (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()):
             continue  # all of it is one run
-        cols = [np.concatenate(x) for x in zip(*held)]
-        cut = len(cols[0]) - int(np.argmax(((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[::-1]))
-        yield pairs(_Rows([c[:cut] for c in cols]))
-        held = [[c[cut:] for c in cols]]
+        last = (t == t[-1]) & (key == key[-1])
+        cut = 0 if last.all() else len(t) - int(np.argmax(~last[::-1]))
+        yield pairs(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+        held = [batch.slice(cut)]
     if held:
-        yield pairs(_Rows([np.concatenate(x) for x in zip(*held)]))
+        yield pairs(pa.Table.from_batches(held))
 
 
 def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5), long: int = LONG) -> DataFrame:
@@ -166,21 +199,22 @@ def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5)
     (node, first, fp, n, keys) to the ones before it in the order of `first`, nulls last, that it is similar to, or to one
     that is connected to such a one: of two nodes that no link leads away from, none are similar.
 
-    Nodes with a common key meet; in each such run leaders are paired with those that may be similar to them
-    (`_led`), and the pairs are verified by their whole sets of shingles (node, shingles). Nodes whose pairs all
-    failed never led; they are compared with all that is still unlinked in a last round, so no link is lost to the
-    order. Keys that more than `long` nodes share are counted first (map-side): their nodes meet in parts of that size, and
-    the leaders of the parts then under the whole key. Pairs tested once aren't tested again. A run's pairs are one for each member and not the square of them; only
-    nodes that look similar and aren't add to that."""
+    Nodes with a common key meet; in each such run leaders are paired with those that may be similar to them (`_led`). All
+    pairs are verified by the whole sets of shingles (node, shingles). Nodes whose pairs all failed never led; they are compared with all that is still unlinked and has a
+    key in common in a last round, set by set inside the tasks (`_flagged`), so no link is lost to the order. Keys
+    that more than `long` nodes share are counted first (map-side): their nodes meet in parts of that size, and the
+    leaders of the parts then under the whole key; in the last round every two parts of BLOCK nodes meet. Pairs tested once
+    aren't tested again before that round. A run's pairs are one for each member at most and not the square of them,
+    whatever looks similar and isn't."""
     up, down = share
     nodes = nodes.select("node", F.col("first").isNull().alias("last"), "first", "fp", "n", *pivot_columns(F.col("fp")), "keys")
 
     def met(some: DataFrame) -> DataFrame:
         return some.select("node", "last", "first", "fp", "n", "flag", *_P, F.posexplode("keys").alias("t", "key"))
 
-    def candidates(rows: DataFrame, way: Callable) -> DataFrame:
+    def candidates(rows: DataFrame, way: Callable, *more: str) -> DataFrame:
         rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "last", "first", "node")
-        rows = rows.select("t", "key", "node", "fp", "n", F.col("flag").cast("int").alias("flag"), *_P)
+        rows = rows.select("t", "key", "node", "fp", "n", F.col("flag").cast("int").alias("flag"), *more, *_P)
         return on_batches(rows, lambda x: way(x, share), "a bigint, b bigint").distinct()
 
     def leads(rows: DataFrame) -> DataFrame:
@@ -208,6 +242,21 @@ def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5)
     def ends(tested: DataFrame, good: bool) -> DataFrame:
         return tested.where("good" if good else "not good").select(F.col("b").alias("node")).distinct()
 
+    def last(left: DataFrame) -> DataFrame:
+        """Links of flagged nodes with all others that share a key with them."""
+        asked = keep(left.where("flag").select(F.posexplode("keys").alias("t", "key")).distinct(), "asked")
+        rows = keep(met(left).join(if_few(asked), ["t", "key"], "left_semi"), "hot")
+        many = keep(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "many")
+        rows = rows.join(many, ["t", "key"])
+        # Every two parts of a key meet, each also on its own: a row goes to the pairs that its part is in.
+        parts, block = F.ceil(F.col("many") / min(long, BLOCK)).cast("int"), F.col("t") + BANDS * (F.col("low") * F.col("parts") + F.col("high"))
+        rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumn("low", F.least("part", "other").cast("long")).withColumn("high", F.greatest("part", "other")).withColumn("t", block)
+        ids = keep(rows.select("node").distinct(), "asked")
+        sets = keep(shingles.join(if_few(ids), "node", "left_semi"), "sets")
+        return keep(candidates(rows.join(sets, "node"), _flagged, "part", "shingles"), "last")
+
     # Most links are found under the first keys; what is linked needs no others.
     every = nodes.withColumn("flag", F.lit(False))
     tested = verified(leads(met(every).where(F.col("t") < EARLY)))
@@ -219,10 +268,7 @@ def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5)
     good = tested.where("good").select("a", "b")
     if failed.head(1):
         left = nodes.join(if_few(linked), "node", "left_anti").join(failed.withColumn("flag", F.lit(True)), "node", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
-        # Only runs with a failed node can give new pairs.
-        hot = left.where("flag").select(F.posexplode("keys").alias("t", "key")).distinct()
-        more = candidates(met(left).join(hot, ["t", "key"], "left_semi"), _flagged)
-        good = good.unionByName(verified(more.join(tested.select("a", "b"), ["a", "b"], "left_anti")).where("good").select("a", "b"))
+        good = good.unionByName(last(left))
     return good
 
 

@@ -3,7 +3,8 @@ import re
 import numpy as np
 import pytest
 
-from shardflow.llm.similar import BITS, drop_similar, keys, similar_groups
+from shardflow.llm import similar
+from shardflow.llm.similar import BANDS, BITS, drop_similar, keys, similar_groups
 from shardflow.llm.simhash import fingerprint
 from tests.conftest import SMALL
 from tests.llm import cases
@@ -140,3 +141,33 @@ def test_one_group_of_very_many(spark, long):
     rows = {i: " ".join([*base, f"end{i}"]) for i in range(3000)}
     got = similar_groups(cases.of(spark, rows, parts=8), long=long)
     assert {tuple(x) for x in got.select("group_id").distinct().collect()} == {(0,)}
+
+
+@pytest.mark.parametrize("long", [50_000, 60])
+def test_rows_of_a_group_that_looks_similar(spark, monkeypatch, long):
+    """Pairs are one for each member and key at most, if a large group looks similar and few of it are. The last round holds
+    links alone."""
+    made, real = [], similar.on_batches
+
+    def counted(df, run, schema, *more):
+        n = spark.sparkContext.accumulator(0)
+
+        def go(batches):
+            for b in run(batches):
+                n.add(b.num_rows)
+                yield b
+
+        made.append((schema, n))
+        return real(df, go, schema, *more)
+
+    monkeypatch.setattr(similar, "on_batches", counted)
+    r = np.random.default_rng(6)
+    base = cases.prose(90, 9).replace("\n", " ")
+    texts = [edited(r, base, 0.045) for _ in range(500)]
+    texts += [edited(r, t, 0.012) for t in texts[::25]]
+    rows = list(enumerate(texts))
+    got = similar_groups(cases.of(spark, dict(rows), parts=4), long=long).collect()
+    links, gone = check(rows, [tuple(x) for x in got])
+    assert links >= 10 and gone >= 10
+    pairs = [n.value for schema, n in made if schema.startswith("a bigint")]
+    assert sum(pairs) < BANDS * len(rows) and pairs[-1] < len(rows)
