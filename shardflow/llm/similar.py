@@ -1,7 +1,9 @@
-"""Near-duplicates by shingle similarity: SimHash fingerprints and pivot distances discard, exact similarity decides.
+"""Near-duplicates by shingle similarity: SimHash links first, wider ones after them; exact similarity decides.
 
-Links of a few bits (`shardflow.llm.simhash`) miss most pairs of a similarity of 0.8: their fingerprints are some ten bits
-apart, and no masks of 64 bits find such pairs among very many. Here minima of shingle hashes find the candidates.
+Fingerprints within three bits are found as in `shardflow.llm.simhash`, under masks and by pivot distance tables. Such links
+miss most pairs of a similarity of 0.8, whose fingerprints are some ten bits apart, and no masks of 64 bits find these
+among very many. So what is still unlinked meets under minima of shingle hashes, too, and fingerprints and pivot distances
+discard there.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from shardflow.llm.common import if_few, keep, numbered, on_batches, pick
 from shardflow.llm.components import components
 from shardflow.llm.simhash import fold, pivot_columns, shingle_hashes
+from shardflow.llm.simhash import links as bit_links
 
 #: Keys of a document, each over ROWS minima: a pair of similarity 0.8 shares one with a chance of 1 - (1 - 0.8**4)**16,
 #: which is 0.9998.
@@ -26,6 +29,8 @@ EARLY = 4
 #: Bits by which the fingerprints of a pair of similarity 0.8 differ at most: ten are to be expected, and three the
 #: standard deviation.
 BITS = 24
+#: Bits of the links that masks of fingerprints find.
+CLOSE = 3
 #: Nodes with a common key beyond which they meet in parts.
 LONG = 50_000
 #: Nodes with a common key that are compared by whole sets in one go.
@@ -199,8 +204,10 @@ def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5)
     (node, first, fp, n, keys) to the ones before it in the order of `first`, nulls last, that it is similar to, or to one
     that is connected to such a one: of two nodes that no link leads away from, none are similar.
 
-    Nodes with a common key meet; in each such run leaders are paired with those that may be similar to them (`_led`). All
-    pairs are verified by the whole sets of shingles (node, shingles). Nodes whose pairs all failed never led; they are compared with all that is still unlinked and has a
+    SimHash links come first: fingerprints within CLOSE bits, under masks and by pivot distance tables; equal fingerprints
+    are one there, with a pair for each further node. What is still unlinked meets under common keys; in each such run
+    leaders are paired with those that may be similar to them (`_led`). All pairs are verified by the whole sets of shingles
+    (node, shingles). Nodes whose pairs all failed never led; they are compared with all that is still unlinked and has a
     key in common in a last round, set by set inside the tasks (`_flagged`), so no link is lost to the order. Keys
     that more than `long` nodes share are counted first (map-side): their nodes meet in parts of that size, and the
     leaders of the parts then under the whole key; in the last round every two parts of BLOCK nodes meet. Pairs tested once
@@ -212,6 +219,16 @@ def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5)
     def met(some: DataFrame) -> DataFrame:
         return some.select("node", "last", "first", "fp", "n", "flag", *_P, F.posexplode("keys").alias("t", "key"))
 
+    def close() -> DataFrame:
+        """Pairs of nodes within CLOSE bits that connect all such nodes."""
+        place = F.struct("last", "first", "node")
+        heads = keep(nodes.groupBy("fp").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("many")), "heads")
+        u, v = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in "uv")
+        far = bit_links(heads, CLOSE).distinct().join(u, "u").join(v, "v")
+        far = far.select(F.least("hu", "hv")["node"].alias("a"), F.greatest("hu", "hv")["node"].alias("b"))
+        same = nodes.select("fp", "node").join(heads.where("many > 1"), "fp").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+        return far.unionByName(same.where("a <> b")).distinct()
+
     def candidates(rows: DataFrame, way: Callable, *more: str) -> DataFrame:
         rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "last", "first", "node")
         rows = rows.select("t", "key", "node", "fp", "n", F.col("flag").cast("int").alias("flag"), *more, *_P)
@@ -257,12 +274,13 @@ def links(nodes: DataFrame, shingles: DataFrame, share: tuple[int, int] = (4, 5)
         sets = keep(shingles.join(if_few(ids), "node", "left_semi"), "sets")
         return keep(candidates(rows.join(sets, "node"), _flagged, "part", "shingles"), "last")
 
-    # Most links are found under the first keys; what is linked needs no others.
+    # What is linked needs no others: fingerprints link first, then most links are found under the first keys.
     every = nodes.withColumn("flag", F.lit(False))
-    tested = verified(leads(met(every).where(F.col("t") < EARLY)))
-    left = every.join(if_few(keep(ends(tested, True), "linked")), "node", "left_anti")
-    more = leads(met(left).where(F.col("t") >= EARLY)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = tested.unionByName(verified(more))
+    tested = verified(close())
+    for way in (F.col("t") < EARLY, F.col("t") >= EARLY):
+        left = every.join(if_few(keep(ends(tested, True), "linked")), "node", "left_anti")
+        more = leads(met(left).where(way)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.unionByName(verified(more))
     linked = keep(ends(tested, True), "linked")
     failed = keep(ends(tested, False).join(linked, "node", "left_anti"), "failed")
     good = tested.where("good").select("a", "b")
