@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
@@ -102,6 +103,15 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Free heap of the executors, between large steps: a JVM keeps what it once took, so that a step's peak stays beside the
+    next one's; a full collection gives it back to the system, with buffers and generated classes that nothing holds any
+    more. One task for each core; no result depends on it, and an executor that gets none keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    with contextlib.suppress(PySparkException):  # where calls by name aren't allowed
+        spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def on_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, holds: str = "") -> DataFrame:
     """mapInArrow with this package sent to the workers first. What a worker remembers between tasks (`memory`) is given up
     when it goes on to an operation that doesn't hold it: workers serve one stage after another, and give back to the

@@ -89,3 +89,17 @@ def test_extra_columns_pass_through(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns
         out.collect()
+
+
+def test_stages_begin_with_free_heap(spark, monkeypatch):
+    """Each stage asks the executors (here: this JVM) for a full collection before its own work."""
+    docs, work = spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), []
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    for name in ("drop_toxic", "drop_exact_duplicates", "drop_similar", "mixed", "pack"):
+        monkeypatch.setattr(corpus_pipeline, name, lambda df, *a: work.append(full()) or df)
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, SMALL)
+        assert work[-1] > before
+    assert len(work) == len(corpus_pipeline.STAGES)
