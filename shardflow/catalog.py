@@ -201,11 +201,18 @@ def local_group_by_key(spark, d):
 
 @query("select o_custkey as key, max(o_totalprice) - min(o_totalprice) as spread from orders group by 1")
 def group_map_with(spark, d):
-    """An opaque function of a group."""
-    import pandas as pd
-
-    df = _pairs(_t(spark, d, "orders"), "o_custkey", "o_totalprice")
-    return agg.map_groups(df, lambda x: pd.DataFrame({"key": [x["key"].iloc[0]], "spread": [x["value"].max() - x["value"].min()]}), "key bigint, spread double")
+    """An opaque function of a group, in one pass over its values."""
+    return agg.map_groups(_pairs(_t(spark, d, "orders"), "o_custkey", "o_totalprice"), _spread, "key bigint, spread double")
+
+
+def _spread(key, values):
+    """Nulls don't count, and NaN is the largest number, as in SQL."""
+    low = high = None
+    for v in values:
+        if v is not None:
+            low = v if low is None or v < low else low
+            high = v if high is None or v > high or v != v else high
+    yield key, None if low is None else high - low
 
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce as fold
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from shardflow.operators import opaque
 from shardflow.session import shared_dir, ship
 from shardflow.shapes import key_of
 
@@ -133,7 +136,28 @@ def reduce_by_key_with(df: DataFrame, f: Callable[[object, object], object]) ->
     return pair.mapInArrow(part, pair.schema).repartition("key").mapInArrow(part, pair.schema)
 
 
-def map_groups(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """An opaque function of all rows with one key."""
+def map_groups(df: DataFrame, f: Callable[[object, Iterator], Iterable], schema: str) -> DataFrame:
+    """An opaque function of all rows with one key: it gets the key and an iterator over the group's values (tuples, if
+    there are several other columns), and yields values or tuples. Rows come sorted by key, in batches that know
+    nothing of groups: a small group costs no call of its own between Spark and Python, a large one is never held."""
     ship(df.sparkSession)
-    return df.groupBy(key_of(df)).applyInPandas(f, schema)
+    key, kind = key_of(df), StructType.fromDDL(schema)
+    others = [c for c in df.columns if c != key]
+    arrow = to_arrow_schema(kind)
+    at = 1 if len(others) == 1 else slice(1, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in opaque.rows_of(b))
+        groups = groupby(rows, lambda r: (_one_form(r[0]),))  # in a tuple the one NaN equals itself
+        yield from opaque.batches_of((y for (k,), g in groups for y in f(k, (r[at] for r in g))), arrow)
+
+    return df.select(key, *others).repartition(key).sortWithinPartitions(key).mapInArrow(run, kind)
+
+
+def _one_form(k: object) -> object:
+    """A key with one NaN and one zero, at any depth."""
+    if isinstance(k, float):
+        return k + 0.0 if k == k else math.nan
+    if isinstance(k, dict):
+        return {n: _one_form(x) for n, x in k.items()}
+    return [_one_form(x) for x in k] if isinstance(k, list) else k

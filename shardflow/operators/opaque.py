@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,26 +19,30 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns)) if batch.num_columns else iter([()] * batch.num_rows)
 
 
+def batches_of(items: Iterable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Values or tuples as batches."""
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+    for y in items:
+        held.append(y if isinstance(y, tuple) else (y,))
+        if len(held) >= ROWS:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
 def flat_map(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
     """The values or tuples that f yields for each row."""
     ship(df.sparkSession)
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            for row in rows_of(b):
-                for y in f(*row):
-                    held.append(y if isinstance(y, tuple) else (y,))
-                    if len(held) >= ROWS:
-                        yield batch(held)
-                        held = []
-        if held:
-            yield batch(held)
+        yield from batches_of((y for b in batches for row in rows_of(b) for y in f(*row)), arrow)
 
     return df.mapInArrow(run, kind)
 

@@ -10,12 +10,13 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shardflow import sources
+from shardflow import catalog, sources
 from shardflow.dataset import Dataset
 from shardflow.functions import fnv1a
 from shardflow.operators import aggregation as agg
 from shardflow.operators import exchange, joins, ordering
 from shardflow.streaming import fan_in
+from tests.oracle import of_duckdb, of_spark
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 PAIRS = st.lists(st.tuples(st.integers(-4, 4), st.integers(-9, 9)), max_size=25)
@@ -297,3 +298,28 @@ def test_fan_in(spark):
     a, b = (spark.createDataFrame([(x,)], "value int") for x in (1, 2))
     assert sorted(Dataset(fan_in(a, b, change=lambda d: d.select((F.col("value") * 2).alias("value")))).collect()) == [2, 4]
     assert Dataset(fan_in(a)).collect() == [1]
+
+
+def test_groups_of_an_opaque_function_share_batches(spark):
+    """As many batches as rows need, not one for each group; large groups, null, NaN and zero keys stay whole."""
+    rows = [(k, v) for v in range(3000) for k in (None, math.nan, 0.0, -0.0, 5.0)] + [(float(k), 1) for k in range(100, 2100)]
+    df = pairs(spark, rows, "key double, value int").repartition(5)
+    out = agg.map_groups(df, lambda k, values: [(k, sum(1 for _ in values))], "key double, n bigint")
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    found = {repr(r.key): r.n for r in out.collect()}
+    assert found == {"None": 3000, "nan": 3000, "0.0": 6000, "5.0": 3000} | {repr(float(k)): 1 for k in range(100, 2100)}
+
+
+def test_groups_of_nested_keys_and_several_columns(spark):
+    df = spark.createDataFrame([({"x": math.nan}, 1, "a"), ({"x": math.nan}, 2, None), ({"x": 1.0}, 3, "c")], "key struct<x:double>, a int, b string")
+    out = agg.map_groups(df, lambda k, values: [(k["x"], sorted(values))], "x double, v array<struct<a:int,b:string>>")
+    assert sorted((repr(r.x), [tuple(v) for v in r.v]) for r in out.collect()) == [("1.0", [(3, "c")]), ("nan", [(1, "a"), (2, None)])]
+
+
+def test_group_map_with_odd_prices(spark, tmp_path):
+    """Nulls don't count, NaN is the largest, a group of nulls has a null; null keys are a group."""
+    rows = [(1, 5.0), (1, None), (1, 2.0), (2, None), (3, math.nan), (3, 1.0), (3, 9.0), (None, 4.0), (None, 1.5)]
+    spark.createDataFrame(rows, "o_custkey bigint, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    names, rows = of_spark(catalog.queries()["group_map_with"](spark, str(tmp_path)))
+    assert (names, rows) == of_duckdb(catalog.oracle_sql()["group_map_with"], str(tmp_path))
+    assert len(rows) == 4
