@@ -14,7 +14,7 @@ from shardflow import functions as fn
 from shardflow import sinks, sources
 from shardflow.dataset import Dataset
 from shardflow.operators import aggregation as agg
-from shardflow.operators import exchange, joins, ordering
+from shardflow.operators import exchange, joins, ordering, postings
 from shardflow.session import shared_dir
 from shardflow.plans import dot, observed
 from shardflow.streaming import fan_in, receive, run_to_end, sorted_batches
@@ -237,8 +237,7 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 def inverted_index_segments(spark, d):
     """The same in segments of 256 documents: a row stays bounded however common its word is, and a common word's
     segments are grouped by many tasks."""
-    g = _places(spark, d).groupBy("key", F.expr("value.doc_id div 256").alias("segment")).agg(F.sort_array(F.collect_list("value")).alias("values"))
-    return g.select("key", "segment", F.array_join("values.place", ",").alias("places"))
+    return postings.by_segment(_t(spark, d, "documents"), "doc_id", "text", F.expr("doc_id div 256"))
 
 
 # placement

@@ -1,0 +1,104 @@
+"""Words with their places: odd documents against SQL, packed places, and how much moves between tasks."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from shardflow import catalog
+from shardflow.operators import postings
+from tests.oracle import of_duckdb, of_spark
+
+BOTH = ["inverted_index_segments"]
+#: Vertical tabs and other white space inside words, ids out of order, negative, huge, twice, null.
+ODD = [
+    (700, "b a\tb\n\n a\x0bc \x0cb\rz\n"),
+    (3, "a a a\nb c \x1c   café"),
+    (-300, "a\nb"),
+    (-1, "b b"),
+    (3, "a b\na\n\nq"),
+    (2**63 - 1, "a z"),
+    (-(2**63), "a z"),
+    (None, "a only_here"),
+    (None, "only_here"),
+    (5, None),
+    (6, ""),
+    (7, " \n \t"),
+    (255, "a"),
+    (256, "a\n" * 400 + "a b"),
+]
+
+
+def moved(df):
+    """Bytes of rows that went through exchanges, once df has run."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        else:
+            if p.nodeName() == "Exchange":
+                total += p.metrics().apply("dataSize").value()
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def written(spark, tmp_path, rows, parts=3):
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", BOTH)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_odd_documents(spark, tmp_path, name, parts):
+    d = written(spark, tmp_path, ODD, parts)
+    assert of_spark(catalog.queries()[name](spark, d)) == of_duckdb(catalog.oracle_sql()[name], d)
+
+
+@pytest.mark.parametrize("name", BOTH)
+def test_no_documents(spark, tmp_path, name):
+    assert catalog.queries()[name](spark, written(spark, tmp_path, [])).collect() == []
+
+
+@pytest.mark.parametrize("name", BOTH)
+def test_less_moves_than_places(spark, tmp_path, name):
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice("abcdefghij") * 3 for _ in range(2000))) for i in range(300)]
+    df = catalog.queries()[name](spark, written(spark, tmp_path, rows))
+    assert sum(len(x.places.split(",")) for x in df.collect()) == 600_000
+    assert 0 < moved(df) < 1.1 * sum(len(t) for _, t in rows)
+
+
+def test_small_parts_give_the_same(monkeypatch):
+    """Limits that cut everywhere: between rows, inside runs of a key, and inside the places of one word."""
+    r = random.Random(2)
+    rows = [(r.choice([None, r.randrange(-50, 3000)]), "\n".join(" ".join(r.choice(["a", "b", f"w{r.randrange(40)}"]) for _ in range(r.randrange(9))) for _ in range(r.randrange(30)))) for _ in range(200)]
+    want: dict[str, list] = {}
+    for doc, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            for w in line.split():
+                want.setdefault(w, []).extend([] if doc is None else [(doc, n)])
+    want = {w: ",".join(f"{d}:{n}" for d, n in sorted(p)) or None for w, p in want.items()}
+    for text, packed, places in ((1, 1, 7), (300, 50, 100), (1 << 20, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(postings, "TEXT", text)
+        monkeypatch.setattr(postings, "PACKED", packed)
+        monkeypatch.setattr(postings, "PLACES", places)
+        docs = pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+        sent = pa.Table.from_batches(postings._pack(iter([docs.slice(0, 90), docs.slice(90)]))).sort_by("key").combine_chunks()
+        got = pa.Table.from_batches(postings._unpack(iter(sent.to_batches(max_chunksize=17)))).to_pylist()
+        assert len(got) == len(want) and {x["key"]: x["places"] for x in got} == want
+        one = docs.add_column(0, "segment", pa.array(np.zeros(len(rows), np.int64)))
+        two = docs.add_column(0, "segment", pa.array([None] * len(rows), pa.int64()))
+        got = pa.Table.from_batches(postings._segments(iter([one.slice(0, 60), one.slice(60), two.slice(0, 60), two.slice(60)]))).to_pylist()
+        for segment in (0, None):
+            assert {x["key"]: x["places"] for x in got if x["segment"] == segment} == want
+        assert len(got) == 2 * len(want)
+
+
+def test_words_without_places_alone():
+    docs = pa.RecordBatch.from_pydict({"doc": pa.array([None, None], pa.int64()), "text": ["a b", "b"]})
+    sent = pa.Table.from_batches(postings._pack(iter([docs]))).sort_by("key").combine_chunks()
+    assert pa.Table.from_batches(postings._unpack(iter(sent.to_batches()))).to_pylist() == [{"key": "a", "places": None}, {"key": "b", "places": None}]
