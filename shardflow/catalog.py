@@ -220,15 +220,7 @@ def _spread(key, values):
     select word as key, string_agg(doc_id || ':' || n, ',' order by doc_id, n) as places from w where word <> '' group by 1""")
 def inverted_index(spark, d):
     """A row for each word, with all its places."""
-    g = agg.group_by_key(_places(spark, d))
-    return g.select("key", F.array_join("values.place", ",").alias("places"))
-
-
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    """Places sort by document and line; their text is made before they are grouped, and no lambda runs over a group."""
-    each = sources.numbered_word_rows(_t(spark, d, "documents"), "text", "doc_id")
-    place = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_number").cast("string")).alias("place")
-    return each.select(F.col("word").alias("key"), F.struct("doc_id", "line_number", place).alias("value"))
+    return postings.by_word(_t(spark, d, "documents"), "doc_id", "text")
 
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),

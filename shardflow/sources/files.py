@@ -65,18 +65,12 @@ def _lines(path: str, lines: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path] * len(text), pa.string()), pa.array(text, pa.string())], ["path", "value"])
 
 
-def numbered_words(text: Column, separator: str = r"[^\S\n]+") -> Column:
+def numbered_words(text: Column, separator: str = r"[ \t\f\r]+") -> Column:
     """An array of (line_number from 0, word) of a text; empty words are left out, empty lines counted."""
     per_line = F.transform(F.split(text, "\n"), lambda line, i: F.transform(F.filter(F.split(line, separator), lambda w: w != ""), lambda w: F.struct(i.alias("line_number"), w.alias("word"))))
     return F.flatten(per_line)
 
 
-def numbered_word_rows(docs: DataFrame, text: str, *others: str, separator: str = r"[^\S\n]+") -> DataFrame:
-    """The same as rows (line_number, word, and other columns): two generators, which Spark compiles."""
-    lines = docs.select(*others, F.posexplode(F.split(text, "\n")).alias("line_number", "line"))
-    return lines.select(*others, "line_number", F.explode(F.split("line", separator)).alias("word")).where("word <> ''")
-
-
 def xml_rows(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Attributes of one XML element a line, by a schema of names with a leading underscore; lines that aren't such
     an element are dropped."""

@@ -10,7 +10,7 @@ from shardflow import catalog
 from shardflow.operators import postings
 from tests.oracle import of_duckdb, of_spark
 
-BOTH = ["inverted_index_segments"]
+BOTH = ["inverted_index", "inverted_index_segments"]
 #: Vertical tabs and other white space inside words, ids out of order, negative, huge, twice, null.
 ODD = [
     (700, "b a\tb\n\n a\x0bc \x0cb\rz\n"),
