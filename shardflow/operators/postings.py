@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shardflow.session import ship
 
 #: Bytes of text whose words are grouped at once, and of packed places that are written out at once.
-TEXT, PACKED = 16 << 20, 4 << 20
+TEXT, PACKED = 12 << 20, 2 << 20
 #: Rows of a batch that goes to Spark; places of one word that are written out at once.
 ROWS, PLACES = 1 << 16, 1 << 20
 
@@ -41,8 +41,11 @@ def by_segment(docs: DataFrame, doc: str, text: str, segment: Column) -> DataFra
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in _parts(b):
-            keys, doc, line, starts = _grouped(part.column("doc"), part.column("text"))
-            yield from _batches([keys, _packed(doc, line, starts)], ["key", "packed"])
+            keys, *places = _grouped(part.column("doc"), part.column("text"))
+            packed = _packed(*places)
+            del places
+            pa.default_memory_pool().release_unused()
+            yield from _batches([keys, packed], ["key", "packed"])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,20 +121,25 @@ def _grouped(doc: pa.Array, text: pa.Array) -> tuple[pa.Array, np.ndarray, np.nd
     lines = pc.split_pattern(text, "\n")
     per_text = _numbers(pc.list_value_length(lines))
     words = pc.split_pattern(pc.replace_substring_regex(lines.flatten(), "[\t\f\r]", " "), " ")
-    at = np.repeat(np.arange(len(words)), _numbers(pc.list_value_length(words)))
+    del lines
+    at = np.repeat(np.arange(len(words), dtype=np.int32), _numbers(pc.list_value_length(words)))
     words = words.flatten()
     full = pc.greater(pc.binary_length(words), 0)
-    coded, at = words.filter(full).dictionary_encode(), at[_numbers(full)]
-    text_of = np.repeat(np.arange(len(ids)), per_text)
+    words, at = words.filter(full), at[_numbers(full)]
+    coded = words.dictionary_encode()
+    del words, full
+    text_of = np.repeat(np.arange(len(ids), dtype=np.int32), per_text)
     line_of = np.arange(len(text_of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    code, at_text, line = _numbers(coded.indices), text_of[at], line_of[at].astype(np.int64)
+    code = _numbers(coded.indices)
     if n_known < len(ids):
-        code, at_text, line = (x[at_text < n_known] for x in (code, at_text, line))
-    place = ids[at_text]
-    twice = (ids[1:] == ids[:-1]).any()
-    order = np.lexsort((line, place, code)) if twice else np.argsort(code, kind="stable")
+        known = text_of[at] < n_known
+        code, at = code[known], at[known]
     counts = np.bincount(code, minlength=len(coded.dictionary))
-    return coded.dictionary, place[order], line[order], np.append(0, np.cumsum(counts))
+    if (ids[1:] == ids[:-1]).any():
+        at = at[np.lexsort((line_of[at], ids[text_of[at]], code))]
+    else:
+        at = at[np.argsort(code, kind="stable")]
+    return coded.dictionary, ids[text_of[at]], line_of[at], np.append(0, np.cumsum(counts))
 
 
 def _packed(doc: np.ndarray, line: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -145,13 +153,13 @@ def _packed(doc: np.ndarray, line: np.ndarray, starts: np.ndarray) -> pa.Array:
     same = ~first & (pair[:, 0] == 0)
     pair[:, 1] = line - np.where(same, np.append(0, line[:-1])[: len(line)], 0)
     v = pair.ravel()
-    size = np.ones(len(v), np.int64)
+    size = np.ones(len(v), np.int8)
     for k in range(1, 10):
         more = v >= np.uint64(1 << 7 * k)
         if not more.any():
             break
         size += more
-    ends = np.append(0, np.cumsum(size))
+    ends = np.append(0, np.cumsum(size, dtype=np.int64))
     out = np.empty(ends[-1], np.uint8)
     for k in range(int(size.max(initial=0))):
         has = np.flatnonzero(size > k)
